@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -71,6 +72,13 @@ def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int,
         lo = min(hi, n)
 
 
+def small(batches: Iterator[pa.RecordBatch], text: int, most: int = 4 * SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches whose column `text` holds at most `most` bytes, or that are a single row."""
+    for batch in batches:
+        for lo, hi in slices(utf8(batch.column(text))[0], most):
+            yield batch.slice(lo, hi - lo)
+
+
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _TABLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -118,6 +126,20 @@ class Rolling:
             return mix(raw + np.uint64((seed * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & (2**64 - 1)))
 
 
+def stretch_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Content hashes of stretches in ascending order that don't overlap, in steps of bounded memory."""
+    out, lo, n = np.zeros(len(begins), np.uint64), 0, len(begins)
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(ends, begins[lo] + SLICE_BYTES, "right")))
+        base = int(begins[lo])
+        if ends[hi - 1] - base > SLICE_BYTES:  # one very long stretch
+            out[lo] = int.from_bytes(hashlib.blake2b(data[base : int(ends[lo])].tobytes(), digest_size=8).digest(), "little")
+        else:
+            out[lo:hi] = Rolling(data[base : int(ends[hi - 1])])(begins[lo:hi] - base, ends[lo:hi] - base)
+        lo = hi
+    return out
+
+
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words [^\\x20\\x09-\\x0D]+ of concatenated texts: byte starts, byte ends, and first word of each row (one more)."""
     blank = (data == 32) | ((data >= 9) & (data <= 13))

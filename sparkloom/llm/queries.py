@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from sparkloom.llm.simhash import op1_simhash_near_dedup
 from sparkloom.llm.suffix_bwt import op2_suffix_array_dedup
 from sparkloom.llm.suffix_tree import op4_substring_dedup
+from sparkloom.llm.toxicity import op3_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
+    "op3_toxicity": op3_toxicity,
     "op4_substring_dedup": op4_substring_dedup,
 }
 SQL: dict[str, str] = {}

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkloom.llm.language import op6_language_id
+from sparkloom.llm.quality import op8_quality_classifier
 from sparkloom.llm.simhash import op1_simhash_near_dedup
 from sparkloom.llm.suffix_bwt import op2_suffix_array_dedup
 from sparkloom.llm.suffix_tree import op4_substring_dedup
@@ -16,5 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_substring_dedup": op4_substring_dedup,
+    "op6_language_id": op6_language_id,
+    "op8_quality_classifier": op8_quality_classifier,
 }
 SQL: dict[str, str] = {}

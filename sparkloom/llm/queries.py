@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.llm.language import op6_language_id
+from sparkloom.llm.order_minhash import op10_order_minhash
 from sparkloom.llm.quality import op8_quality_classifier
 from sparkloom.llm.simhash import op1_simhash_near_dedup
 from sparkloom.llm.suffix_bwt import op2_suffix_array_dedup
@@ -20,5 +21,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_substring_dedup": op4_substring_dedup,
     "op6_language_id": op6_language_id,
     "op8_quality_classifier": op8_quality_classifier,
+    "op10_order_minhash": op10_order_minhash,
 }
 SQL: dict[str, str] = {}

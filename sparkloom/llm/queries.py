@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkloom.llm.chat import op9_chat_formatting
 from sparkloom.llm.language import op6_language_id
 from sparkloom.llm.order_minhash import op10_order_minhash
 from sparkloom.llm.quality import op8_quality_classifier
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_substring_dedup": op4_substring_dedup,
     "op6_language_id": op6_language_id,
     "op8_quality_classifier": op8_quality_classifier,
+    "op9_chat_formatting": op9_chat_formatting,
     "op10_order_minhash": op10_order_minhash,
 }
 SQL: dict[str, str] = {}

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.llm.chat import op9_chat_formatting
+from sparkloom.llm.decontaminate import op7_benchmark_decontamination
 from sparkloom.llm.language import op6_language_id
+from sparkloom.llm.mixing import op5_source_mixing
 from sparkloom.llm.order_minhash import op10_order_minhash
 from sparkloom.llm.quality import op8_quality_classifier
 from sparkloom.llm.simhash import op1_simhash_near_dedup
@@ -20,7 +22,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_source_mixing": op5_source_mixing,
     "op6_language_id": op6_language_id,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_order_minhash": op10_order_minhash,

@@ -173,31 +173,54 @@ def _pieces(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, np.ndarray,
             lo = hi
 
 
+def predict(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text of a batch of bounded size."""
+    k, rows = len(model.languages), len(column)
+    at, data = utf8(column)
+    mass, words = np.zeros((rows, k)), np.zeros(rows)
+    parts = [(slice(None), data, at)] if len(data) <= SLICE_BYTES else _pieces(data, at)
+    for row, piece, own in parts:
+        edges, lettered, p = label_words(model, piece, own)
+        sums = np.concatenate([np.zeros((1, k)), np.cumsum(p * lettered[:, None], 0)])
+        count = np.concatenate([[0], np.cumsum(lettered)])
+        pick = 0 if isinstance(row, int) else slice(None)
+        mass[row] += (sums[edges[1:]] - sums[edges[:-1]])[pick]
+        words[row] += (count[edges[1:]] - count[edges[:-1]])[pick]
+    plain = np.concatenate([[0], np.cumsum(((data | 32) >= 97) & ((data | 32) <= 122) & (data < 128))])
+    known = plain[at[1:]] > plain[at[:-1]]
+    for i in np.flatnonzero(~known & (words > 0)):  # only other scripts or signs: ask for a letter
+        known[i] = any(c.isalpha() for c in column[int(i)].as_py())
+    if not k:
+        return [UNKNOWN] * rows, np.zeros(rows)
+    best = mass.argmax(1)
+    score = np.where(known & (words > 0), mass[np.arange(rows), best] / np.maximum(words, 1), 0).clip(0, 1)
+    return [model.languages[b] if ok else UNKNOWN for b, ok in zip(best, known)], score
+
+
 def _predict(model) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, k = model.value.languages, len(model.value.languages)
         for batch in small(batches, 1, SLICE_BYTES):
-            at, data = utf8(batch.column(1))
-            mass, words = np.zeros((batch.num_rows, k)), np.zeros(batch.num_rows)
-            parts = [(slice(None), data, at)] if len(data) <= SLICE_BYTES else _pieces(data, at)
-            for rows, piece, own in parts:
-                edges, lettered, p = label_words(model.value, piece, own)
-                sums = np.concatenate([np.zeros((1, k)), np.cumsum(p * lettered[:, None], 0)])
-                count = np.concatenate([[0], np.cumsum(lettered)])
-                mass[rows] += (sums[edges[1:]] - sums[edges[:-1]])[0 if isinstance(rows, int) else slice(None)]
-                words[rows] += (count[edges[1:]] - count[edges[:-1]])[0 if isinstance(rows, int) else slice(None)]
-            plain = np.concatenate([[0], np.cumsum(((data | 32) >= 97) & ((data | 32) <= 122) & (data < 128))])
-            known = plain[at[1:]] > plain[at[:-1]]
-            for i in np.flatnonzero(~known & (words > 0)):  # only other scripts or signs: ask for a letter
-                known[i] = any(c.isalpha() for c in batch.column(1)[int(i)].as_py())
-            known &= k > 0
-            best = mass.argmax(1) if k else np.zeros(batch.num_rows, int)
-            score = np.where(known & (words > 0), mass[np.arange(len(best)), best] / np.maximum(words, 1), 0).clip(0, 1) if k else words * 0.0
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([names[b] if ok else UNKNOWN for b, ok in zip(best, known)], pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
+            names, score = predict(model.value, batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     return run
 
 
+def _keep(model, text: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches, text, SLICE_BYTES):
+            column = batch.column(text)
+            names, _ = predict(model.value, column.fill_null("") if column.null_count else column)
+            yield batch.filter(pa.array([n != UNKNOWN for n in names], pa.bool_()))
+
+    return run
+
+
+def keep_known(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs, all their columns as they are, whose text has a language."""
+    return docs.mapInArrow(_keep(docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")), docs.schema)
+
+
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred and score for every row. A null text, or one without a letter, is `und` with score 0. Other columns are ignored."""
     shared = docs.sparkSession.sparkContext.broadcast(model)

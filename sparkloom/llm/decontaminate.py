@@ -40,6 +40,14 @@ _UNIT_HASHES = _unit_hashes()
 _OUTER = np.isin(np.arange(256), np.frombuffer(b"!\"#'()*,./:;<=>?@[\\]^_`{|}~&-", np.uint8))
 
 
+def _lowered(data: np.ndarray) -> np.ndarray:
+    """A-Z and the capitals of Latin-1, as UTF-8, in lower case."""
+    out = LOWER[data]
+    capital = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
+    out[capital] += 32
+    return out
+
+
 def canonical(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     """Hashes of each canonical word without and with names as slots, whether it is a slot either way, its bytes' start and end, and the
     first of each row (one more).
@@ -55,7 +63,7 @@ def canonical(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
         begins, ends = solid[np.searchsorted(solid, begins)], solid[np.searchsorted(solid, ends) - 1] + 1
     digit = np.concatenate([[0], np.cumsum((data >= 48) & (data <= 57))])
     numeric = np.concatenate([[0], np.cumsum(((data >= 48) & (data <= 57)) | np.isin(data, np.frombuffer(b".,+-/:%$", np.uint8)))])
-    hashes = stretch_hashes(LOWER[data], begins, ends)
+    hashes = stretch_hashes(_lowered(data), begins, ends)
     is_number = (digit[ends] > digit[begins]) & (numeric[ends] - numeric[begins] == ends - begins)
     first = data[begins] if len(begins) else data[:0]
     follows = data[np.minimum(begins + 1, max(len(data) - 1, 0))] if len(begins) else data[:0]

@@ -175,7 +175,7 @@ def linear_correlation(df: DataFrame, a: str, b: str) -> float:
     rows = df.select(*[F.col(c).cast("double").alias(n) for c, n in ((a, "a"), (b, "b"))]).where("a is not null and b is not null")
     if not {logical_of(df, a), logical_of(df, b)} <= set(NUMERIC):
         raise TypeMismatch("correlation is of numbers")
-    found = rows.agg(F.corr("a", "b")).first()[0]
+    found = rows.agg(F.try_divide(F.covar_pop("a", "b"), F.stddev_pop("a") * F.stddev_pop("b"))).first()[0]
     return 0.0 if found is None or math.isnan(found) else found
 
 

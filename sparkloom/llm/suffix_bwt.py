@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from sparkloom.llm.common import small, utf8
 from sparkloom.llm.windows import Symbols, merged, repeated_windows
 
-WINDOW, GRAM, BLOCK = 200, 32, 8
+WINDOW, GRAM, STEP, BLOCK = 200, 32, 13, 8
 #: Blocks that every window contains whole, wherever it starts.
 DEPTH = WINDOW // BLOCK - 1
 #: Blocks of a shard.
@@ -33,7 +33,7 @@ def byte_symbols(data: np.ndarray, offsets: np.ndarray):
     return data, offsets, None, None
 
 
-BYTES = Symbols(WINDOW, GRAM, byte_symbols, lambda text: hashlib.sha256(text).digest())
+BYTES = Symbols(WINDOW, GRAM, STEP, byte_symbols, lambda text: hashlib.sha256(text).digest())
 
 
 def shard_order(block: np.ndarray, left: np.ndarray, depth: int) -> np.ndarray:
@@ -139,9 +139,9 @@ def dedup_bytes(docs: DataFrame) -> DataFrame:
 
     Null and empty texts have no bytes. Fewer than 200 bytes have no window. Equal texts of 200 bytes or more remove each other
     whole, repeated rows of one doc_id included; a null doc_id makes no difference. Other columns are ignored."""
-    survey, first, found = repeated_windows(docs, BYTES, compare, "true", "transforms")
+    survey, first, found = repeated_windows(docs, BYTES, compare, "copies > 1", "true", "transforms")
     cut = found.mapInArrow(_cut, "kd long, th long, gone long, runs long, digest string, spans array<struct<a: long, b: long>>")
-    joined = survey.drop("anchors").join(first, ["kd", "whole"], "left").join(cut, ["kd", "th"], "left")
+    joined = survey.join(first, ["kd", "whole"], "left").join(cut, ["kd", "th"], "left")
     copy = (F.coalesce("copies", F.lit(2)) > 1) & (F.col("n") >= WINDOW)
     return joined.select(
         "doc_id",

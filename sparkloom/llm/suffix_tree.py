@@ -1,8 +1,8 @@
 """Substring dedup with prefix-partitioned suffix trees.
 
 A window of 50 words is removed if it also starts in a document with a smaller doc_id. Suffixes are split by prefixes of
-variable length (see windows.py): the ten words at a window's anchor, or, where more than windows.CROWD suffixes share those, the
-whole 50 words. Prefix groups are packed into tasks up to windows.CHUNK bytes. There the top of the suffix tree of the group is grown
+variable length (see windows.py): the ten words at a window's anchor or, where more than windows.CROWD suffixes share those, 47 words, or
+the whole 50 words. Prefix groups are packed into tasks up to windows.CHUNK bytes. There the top of the suffix tree of the group is grown
 by string depth: the nodes at depth 2h are the nodes at depth h split by the nodes that follow h words later. Suffixes that meet in one node at
 depth 50 share a repeat; the node's least doc_id decides which of them go."""
 
@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import small, stretch_hashes, utf8, words_of
+from sparkloom.llm.common import NULL_ID, small, stretch_hashes, text_of, utf8, words_of
 from sparkloom.llm.windows import Symbols, merged, repeated_windows
 
-WINDOW, PREFIX = 50, 10
+WINDOW, PREFIX, STEP = 50, 10, 4
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -32,7 +32,7 @@ def _joined_digest(text: bytes) -> bytes:
     return hashlib.sha256(b" ".join(text.split())).digest()
 
 
-WORDS = Symbols(WINDOW, PREFIX, word_symbols, _joined_digest)
+WORDS = Symbols(WINDOW, PREFIX, STEP, word_symbols, _joined_digest)
 
 
 def nodes_at_depth(words: np.ndarray, left: np.ndarray, depth: int) -> np.ndarray:
@@ -88,10 +88,10 @@ def dedup_windows(docs: DataFrame) -> DataFrame:
 
     Null and empty texts have no words. Fewer than 50 words have no window. A null doc_id counts as larger than all
     others; rows with equal doc_id remove nothing from each other. Repeated rows get equal results. Other columns are ignored."""
-    survey, first, found = repeated_windows(docs, WORDS, compare, "least_kd < kd", "trees")
+    survey, first, found = repeated_windows(docs, WORDS, compare, "least_kd < kd", "least_kd < kd", "trees")
     cut = found.mapInArrow(_cut, "kd long, th long, gone long, digest string, cut string")
     own = first.select("kd", "whole", F.lit(True).alias("is_first"))
-    joined = survey.drop("anchors").join(own, ["kd", "whole"], "left").join(cut, ["kd", "th"], "left")
+    joined = survey.join(own, ["kd", "whole"], "left").join(cut, ["kd", "th"], "left")
     copy = F.col("is_first").isNull() & (F.col("n") >= WINDOW)
     return joined.select(
         "doc_id",
@@ -103,5 +103,15 @@ def dedup_windows(docs: DataFrame) -> DataFrame:
     )
 
 
+def cut_documents(docs: DataFrame) -> DataFrame:
+    """docs with the removed words cut out: the text of a document that loses words is its kept words joined by one space, and
+    n_chars, where docs has it, its new length. A document that loses all its words goes."""
+    found = dedup_windows(docs).where("n_removed > 0").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id"), F.col("th").alias("_th"), "cut").dropDuplicates(["_id", "_th"])
+    rows = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).withColumn("_th", F.xxhash64(text_of(docs)))
+    text = F.coalesce("cut", F.col("text"))
+    new = {"text": text, "n_chars": F.when(F.col("cut").isNull(), F.col("n_chars")).otherwise(F.length("cut")).cast("long")} if "n_chars" in docs.columns else {"text": text}
+    return rows.join(found, ["_id", "_th"], "left").where("cut is null or cut <> ''").select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+
+
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return dedup_windows(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_words", "n_removed", "kept_sha256")

@@ -4,14 +4,18 @@ Each window of `window` symbols is filed under an anchor: the gram of `gram` sym
 leftmost of equals. The choice looks at nothing outside the window, so equal windows choose the same anchor at the
 same offset, and neighbouring windows share theirs: a text has about 2 / (window - gram) anchors a symbol. Texts equal as a
 whole are represented by one of them. Anchors that occur once in the corpus rule their windows out. The windows of
-the others travel as one stretch of text per anchor, dealt by the anchor, and an operator's own method compares them
-there. An anchor met more than `CROWD` times is not dealt: its windows go by their own 128-bit hash, which
-counts with partial sums and joins back, so no task has to hold one anchor's stretches.
+the others form one stretch of text per anchor. Equal stretches are summed up ahead of the shuffle, so a passage of many documents
+travels once a task. The different stretches are dealt by their anchor, and an operator's own method compares them
+there. An anchor with more than `CROWD` different stretches gets longer keys: its windows are split by their distance to the
+anchor, `step` of them together, and filed under all that these have in common, window - step + 1 symbols. Windows that reach out
+of a common passage then stand alone and are done with. Where even such a key has more than `LONG_CROWD` stretches, the windows go by
+their own 128-bit hash, which counts with partial sums and joins back. So no task has to hold all stretches of an anchor.
 
 Row identity is (kd, th): doc_id with null as the largest number, and the 64-bit hash of the text."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -22,8 +26,10 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.common import NULL_ID, SLICE_BYTES, Rolling, materialise, mix, small, text_of, utf8
 
-#: Occurrences of an anchor up to which its stretches are compared in one task.
+#: Different stretches of an anchor up to which they are compared in one task.
 CROWD = 1024
+#: The same for stretches that are filed under a longer key.
+LONG_CROWD = 1 << 15
 #: Bytes of stretches that a task compares at a time; a group of CROWD stretches may exceed it.
 CHUNK = 4_000_000
 
@@ -34,6 +40,7 @@ class Symbols:
 
     window: int
     gram: int
+    step: int
     split: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray | None]]
     whole: Callable[[bytes], bytes]
 
@@ -90,21 +97,22 @@ def anchor_runs(symbols: np.ndarray, edges: np.ndarray, spec: Symbols) -> tuple[
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def _lists(rows: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(n + 1)).astype(np.int32)), pa.array(values))
-
-
 def _survey(spec: Symbols) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches, 3):
             at, data = utf8(batch.column(3))
             symbols, edges, _, _ = spec.split(data, at)
             rows, _, _, _, hashes = anchor_runs(symbols, edges, spec)
+            order = np.lexsort((hashes, rows))  # the different anchors of each row, and how often it has each
+            rows, hashes = rows[order], hashes[order]
+            new = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]) | (hashes[1:] != hashes[:-1])])) if len(rows) else np.zeros(0, np.int64)
+            times = np.diff(np.append(new, len(rows)))
+            bounds = pa.array(np.searchsorted(rows[new], np.arange(batch.num_rows + 1)).astype(np.int32))
             raw = data.tobytes()
             whole = [spec.whole(raw[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(np.diff(edges)), pa.array(whole, pa.binary()), _lists(rows, hashes, batch.num_rows)],
-                ["doc_id", "kd", "th", "n", "whole", "anchors"],
+                [batch.column(0), batch.column(1), batch.column(2), pa.array(np.diff(edges)), pa.array(whole, pa.binary()), pa.ListArray.from_arrays(bounds, pa.array(hashes[new])), pa.ListArray.from_arrays(bounds, pa.array(times))],
+                ["doc_id", "kd", "th", "n", "whole", "anchors", "times"],
             )
 
     return run
@@ -124,21 +132,55 @@ def _chosen(batch: pa.RecordBatch, column: int, rows: np.ndarray, hashes: np.nda
 
 
 def _stretches(spec: Symbols) -> Callable:
-    """kd, th, text, shared, crowded -> one row for each run under a shared anchor that isn't crowded."""
+    """kd, th, text, shared -> for each different stretch under a shared anchor of the row: anchor, digest, row, all its starts,
+    number of windows, place of the anchor, and bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches, 2):
             at, data = utf8(batch.column(2))
             symbols, edges, begins, ends = spec.split(data, at)
             rows, first, last, anchor, hashes = anchor_runs(symbols, edges, spec)
-            keep = _chosen(batch, 3, rows, hashes) & ~_chosen(batch, 4, rows, hashes)
+            keep = _chosen(batch, 3, rows, hashes)
             rows, first, last, anchor, hashes = (x[keep] for x in (rows, first, last, anchor, hashes))
             stop = last + spec.window - 1
             a, b = (first, stop) if begins is None else (begins[first], ends[stop - 1] if len(stop) else stop)
             raw = data.tobytes()
-            take = pa.array(rows)
+            texts = [raw[x:y] for x, y in zip(a.tolist(), b.tolist())]
+            own: dict[tuple[int, bytes], list[int]] = {}
+            for i, (row, text) in enumerate(zip(rows.tolist(), texts)):
+                own.setdefault((row, hashlib.blake2b(text, digest_size=16).digest()), []).append(i)
+            lead = np.fromiter((x[0] for x in own.values()), np.int64, len(own))
+            starts = [(first[x] - edges[rows[x[0]]]).tolist() for x in own.values()]
+            take = pa.array(rows[lead])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hashes), batch.column(0).take(take), batch.column(1).take(take), pa.array(first - edges[rows]), pa.array((last - first).astype(np.int32)), pa.array((anchor - first).astype(np.int32)), pa.array([raw[x:y] for x, y in zip(a.tolist(), b.tolist())], pa.binary())],
+                [pa.array(hashes[lead]), pa.array([k[1] for k in own], pa.binary()), batch.column(0).take(take), batch.column(1).take(take), pa.array(starts, pa.list_(pa.int64()))]
+                + [pa.array((last - first)[lead].astype(np.int32)), pa.array((anchor - first)[lead].astype(np.int32)), pa.array([texts[i] for i in lead.tolist()], pa.binary())],
+                ["key", "digest", "kd", "th", "starts", "n", "p", "bytes"],
+            )
+
+    return run
+
+
+def _split(spec: Symbols) -> Callable:
+    """kd, th, s, n, p, bytes of stretches -> the same of their parts, with the part's longer key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches, 5, SLICE_BYTES):
+            at, data = utf8(batch.column(5))
+            symbols, edges, begins, ends = spec.split(data, at)
+            s, n, p = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 3, 4))
+            row = np.repeat(np.arange(len(n)), n)
+            within = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            part = (p[row] - within) // spec.step
+            new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (part[1:] != part[:-1])])) if len(row) else np.zeros(0, np.int64)
+            row, first, part, count = row[new], within[new], part[new], np.diff(np.append(new, len(row)))
+            common = edges[row] + p[row] - spec.step * part
+            key = Rolling(symbols)(common, common - spec.step + 1 + spec.window, 7)
+            a, b = edges[row] + first, edges[row] + first + count + spec.window - 1
+            a, b = (a, b) if begins is None else (begins[a], ends[b - 1] if len(b) else b)
+            raw, take = data.tobytes(), pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key.view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), pa.array(s[row] + first), pa.array(count.astype(np.int32)), pa.array((p[row] - first).astype(np.int32)), pa.array([raw[x:y] for x, y in zip(a.tolist(), b.tolist())], pa.binary())],
                 ["key", "kd", "th", "s", "n", "p", "bytes"],
             )
 
@@ -146,29 +188,19 @@ def _stretches(spec: Symbols) -> Callable:
 
 
 def _windows(spec: Symbols) -> Callable:
-    """kd, th, text, shared, crowded -> one row with a 128-bit hash for each window under a crowded anchor."""
+    """kd, th, s, n, bytes of stretches -> a row with a 128-bit hash for each of their windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches, 2):
-            at, data = utf8(batch.column(2))
+        for batch in small(batches, 4, SLICE_BYTES):
+            at, data = utf8(batch.column(4))
             symbols, edges, _, _ = spec.split(data, at)
-            rows, first, last, _, hashes = anchor_runs(symbols, edges, spec)
-            keep = _chosen(batch, 4, rows, hashes)
-            rows, first, last = rows[keep], first[keep], last[keep]
-            for lo in range(0, len(rows), 4096):
-                r, f, n = rows[lo : lo + 4096], first[lo : lo + 4096], (last - first)[lo : lo + 4096]
-                if not len(r):
-                    continue
-                starts = np.repeat(f - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                own = np.repeat(r, n)
-                one, two = np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.uint64)
-                for c, stop, _, _ in _pieces(np.array([starts.min(), starts.max() + spec.window]), spec.window, SLICE_BYTES):
-                    here = (starts >= c) & (starts + spec.window <= stop)
-                    s = starts[here] - c
-                    one[here] = Rolling(symbols[c:stop])(s, s + spec.window, 1)
-                    two[here] = Rolling(mix(symbols[c:stop].astype(np.uint64)))(s, s + spec.window, 2)
-                take = pa.array(own)
-                yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), pa.array(starts - edges[own])], ["w1", "w2", "kd", "th", "s"])
+            n = batch.column(3).to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(len(n)), n)
+            within = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            start = edges[row] + within
+            one, two = Rolling(symbols)(start, start + spec.window, 1), Rolling(mix(symbols.astype(np.uint64)))(start, start + spec.window, 2)
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), pa.array(batch.column(2).to_numpy(zero_copy_only=False)[row] + within)], ["w1", "w2", "kd", "th", "s"])
 
     return run
 
@@ -212,35 +244,47 @@ def _by_group(compare: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], wind
     return run
 
 
-def repeated_windows(docs: DataFrame, spec: Symbols, compare: Callable, hot: str, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The survey (doc_id, kd, th, n, whole, anchors; one row a document), the representatives (whole, kd, copies), and the
-    texts of representatives with covered intervals (kd, th, text, spans of symbols).
+def repeated_windows(docs: DataFrame, spec: Symbols, compare: Callable, stretch_goes: str, window_goes: str, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The survey (doc_id, kd, th, n, whole; one row a document), the representatives (whole, kd, copies), and the
+    texts of representatives with covered stretches (kd, th, text, spans of starts and size in symbols).
 
     compare: gets a table of stretches of some anchors and returns the rows and relative starts of covered windows.
-    hot: the same decision in SQL over kd and the window's copies and least_kd."""
+    stretch_goes, window_goes: SQL over kd, copies and least_kd that tells whether an equal stretch or window elsewhere covers one."""
     doc_id = F.col("doc_id").cast("long")
     text = text_of(docs)
     rows = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(NULL_ID)).alias("kd"), F.xxhash64(text).alias("th"), text.alias("text"))
-    survey = materialise(rows.mapInArrow(_survey(spec), "doc_id long, kd long, th long, n long, whole binary, anchors array<long>"), f"{name}-survey")
+    survey = materialise(rows.mapInArrow(_survey(spec), "doc_id long, kd long, th long, n long, whole binary, anchors array<long>, times array<long>"), f"{name}-survey")
     first = materialise(survey.groupBy("whole").agg(F.min("kd").alias("kd"), F.count("*").alias("copies")), f"{name}-first")
-    grams = survey.join(first, ["kd", "whole"]).select("kd", "th", F.explode("anchors").alias("h"))
-    shared = grams.groupBy("h").agg(F.count("*").alias("times")).where("times > 1")
-    wanted = grams.join(shared, "h").groupBy("kd", "th").agg(F.collect_set("h").alias("shared"), F.collect_set(F.when(F.col("times") > CROWD, F.col("h"))).alias("crowded"))
+    grams = survey.join(first, ["kd", "whole"]).select("kd", "th", F.explode(F.arrays_zip("anchors", "times")).alias("g")).select("kd", "th", F.col("g.anchors").alias("h"), F.col("g.times").alias("times"))
+    shared = grams.groupBy("h").agg(F.sum("times").alias("times")).where("times > 1").select("h")
+    wanted = grams.join(shared, "h").groupBy("kd", "th").agg(F.collect_set("h").alias("shared"))
     texts = rows.select("kd", "th", "text").join(wanted, ["kd", "th"]).dropDuplicates(["kd", "th"])
-    texts = materialise(texts.select("kd", "th", "text", "shared", "crowded"), f"{name}-texts")
-    stretches = texts.mapInArrow(_stretches(spec), "key long, kd long, th long, s long, n int, p int, bytes binary")
-    near = stretches.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(_by_group(compare, spec.window), "kd long, th long, a long, b long")
-    windows = texts.where("size(crowded) > 0").mapInArrow(_windows(spec), "w1 long, w2 long, kd long, th long, s long")
+    texts = materialise(texts.select("kd", "th", "text", "shared"), f"{name}-texts")
+    stretches = texts.mapInArrow(_stretches(spec), "key long, digest binary, kd long, th long, starts array<long>, n int, p int, bytes binary")
+    lead = F.min(F.struct("kd", "th", F.col("starts")[0].alias("s")))
+    kinds = stretches.groupBy("key", "digest").agg(lead.alias("lead"), F.sum(F.size("starts")).alias("copies"), F.first("n").alias("n"), F.first("p").alias("p"), F.first("bytes").alias("bytes"))
+    kinds = materialise(kinds.select("key", "digest", "lead.*", "copies", "n", "p", "bytes"), f"{name}-stretches")
+    crowded = kinds.groupBy("key").agg(F.count("*").alias("kinds")).where(F.col("kinds") > CROWD).select("key")
+    columns = ["key", "kd", "th", "s", "n", "p", "bytes"]
+    parts = kinds.join(crowded, "key", "left_semi").select(*columns[1:]).mapInArrow(_split(spec), "key long, kd long, th long, s long, n int, p int, bytes binary")
+    sizes = parts.groupBy("key").agg(F.count("*").alias("stretches")).where("stretches > 1")
+    few, many = (parts.join(sizes.where(f"stretches {sign} {LONG_CROWD}"), "key", "left_semi") for sign in ("<=", ">"))
+    near = kinds.join(crowded, "key", "left_anti").select(*columns).unionByName(few.select(*columns)).repartition(F.col("key")).sortWithinPartitions("key")
+    near = near.mapInArrow(_by_group(compare, spec.window), "kd long, th long, a long, b long")
+    windows = many.select("kd", "th", "s", "n", "bytes").mapInArrow(_windows(spec), "w1 long, w2 long, kd long, th long, s long")
     counts = windows.groupBy("w1", "w2").agg(F.count("*").alias("copies"), F.min("kd").alias("least_kd")).where("copies > 1")
-    far = windows.join(counts, ["w1", "w2"]).where(hot).select("kd", "th", F.col("s").alias("a"), (F.col("s") + spec.window).alias("b"))
-    spans = near.union(far).groupBy("kd", "th").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    return survey, first, texts.select("kd", "th", "text").join(spans, ["kd", "th"])
+    far = windows.join(counts, ["w1", "w2"]).where(window_goes).select("kd", "th", F.col("s").alias("a"), (F.col("s") + spec.window).alias("b"))
+    apart = near.union(far).select("kd", "th", F.array("a").alias("starts"), (F.col("b") - F.col("a")).alias("size"))
+    equal = stretches.select("digest", "kd", "th", "starts", "n").join(kinds.where("copies > 1").select("digest", F.col("kd").alias("least_kd"), "copies"), "digest")
+    equal = equal.where(stretch_goes).select("kd", "th", "starts", (F.col("n") + (spec.window - 1)).cast("long").alias("size"))
+    spans = apart.union(equal).groupBy("kd", "th").agg(F.collect_list(F.struct("starts", "size")).alias("spans"))
+    return survey.drop("anchors", "times"), first, texts.select("kd", "th", "text").join(spans, ["kd", "th"])
 
 
-def merged(spans: pa.StructScalar | list) -> list[tuple[int, int]]:
-    """Sorted maximal runs of overlapping or touching intervals."""
+def merged(spans: list[dict]) -> list[tuple[int, int]]:
+    """Sorted maximal runs of overlapping or touching stretches."""
     out: list[tuple[int, int]] = []
-    for a, b in sorted((x["a"], x["b"]) for x in spans):
+    for a, b in sorted((a, a + x["size"]) for x in spans for a in x["starts"]):
         if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:

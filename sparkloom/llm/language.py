@@ -176,6 +176,8 @@ def _pieces(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, np.ndarray,
 def predict(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray]:
     """Language and score of each text of a batch of bounded size."""
     k, rows = len(model.languages), len(column)
+    if not k:
+        return [UNKNOWN] * rows, np.zeros(rows)
     at, data = utf8(column)
     mass, words = np.zeros((rows, k)), np.zeros(rows)
     parts = [(slice(None), data, at)] if len(data) <= SLICE_BYTES else _pieces(data, at)
@@ -190,10 +192,8 @@ def predict(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray]:
     known = plain[at[1:]] > plain[at[:-1]]
     for i in np.flatnonzero(~known & (words > 0)):  # only other scripts or signs: ask for a letter
         known[i] = any(c.isalpha() for c in column[int(i)].as_py())
-    if not k:
-        return [UNKNOWN] * rows, np.zeros(rows)
     best = mass.argmax(1)
-    score = np.where(known & (words > 0), mass[np.arange(rows), best] / np.maximum(words, 1), 0).clip(0, 1)
+    score = np.where(known & (words > 0), mass[np.arange(rows), best] / np.maximum(words, 1), 0).clip(0, 1).round(9)
     return [model.languages[b] if ok else UNKNOWN for b, ok in zip(best, known)], score
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.llm.chat import op9_chat_formatting
+from sparkloom.llm.common import reach_workers
 from sparkloom.llm.decontaminate import op7_benchmark_decontamination
 from sparkloom.llm.language import op6_language_id
 from sparkloom.llm.mixing import op5_source_mixing
@@ -17,7 +19,19 @@ from sparkloom.llm.suffix_bwt import op2_suffix_array_dedup
 from sparkloom.llm.suffix_tree import op4_substring_dedup
 from sparkloom.llm.toxicity import op3_toxicity
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _importable(query: Query) -> Query:
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        reach_workers(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+QUERIES: dict[str, Query] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_toxicity": op3_toxicity,
@@ -29,6 +43,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat_formatting": op9_chat_formatting,
     "op10_order_minhash": op10_order_minhash,
 }
+QUERIES = {name: _importable(query) for name, query in QUERIES.items()}
 SQL: dict[str, str] = {
     # every 50-word window with the least doc_id that it starts in, then the words that windows of later documents cover
     "op4_substring_dedup": r"""

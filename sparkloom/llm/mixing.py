@@ -3,8 +3,8 @@
 A naive Bayes classifier, counted on at most SAMPLE rows of the labelled table, gives every document posteriors over DOMAINS from binned statistics of its
 text and from which of the WORDS most telling words it has. Then nonnegative rates are fitted, one a document: the
 expected tokens of each domain, tokens times posterior times rate summed over all documents, are to equal the targets. Each step of projected
-gradient descent is one aggregate over the documents, of which the driver gets a number per domain; the step is scaled by the inverse Gram matrix of the
-domains, so it needs no step length, and rates below zero are set to zero."""
+gradient descent is one aggregate over the documents, of which the driver gets a few numbers per domain; the step is scaled by the inverse Gram matrix of the
+domains over the documents that have a rate, rates below zero are set to zero, and a step that makes things worse is taken again, shorter."""
 
 from __future__ import annotations
 
@@ -47,12 +47,14 @@ def _described(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "th", "tokens", "words", *[b.alias(s) for b, s in zip(bins, STATISTICS)])
 
 
-def _classifier(described: DataFrame, labels: DataFrame) -> list[Column]:
+def _classifier(docs: DataFrame, labels: DataFrame) -> list[Column]:
     """Log posterior of each domain, up to a shared term, as columns over `_described`."""
     own = labels.where("doc_id is not null and quality is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "toxic")
     own = own.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("quality").alias("quality")).select("doc_id", _domain().alias("domain"))
     drawn = own.orderBy(F.xxhash64("doc_id", F.lit("mixing")), "doc_id").limit(SAMPLE)
-    rows = materialise(described.join(F.broadcast(drawn), "doc_id"), "mixing-rows")  # SAMPLE rows of two numbers
+    drawn = F.broadcast(drawn)  # SAMPLE rows of two numbers
+    of_drawn = _described(docs.where(F.col("doc_id").isNotNull()).join(drawn.select("doc_id"), "doc_id", "left_semi"))
+    rows = materialise(of_drawn.join(drawn, "doc_id"), "mixing-rows")
     k = len(DOMAINS)
     size = np.zeros(k)
     for r in rows.groupBy("domain").count().collect():
@@ -85,7 +87,7 @@ def _classifier(described: DataFrame, labels: DataFrame) -> list[Column]:
 def soft_membership(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, th (64-bit hash of the text), tokens and the posterior p_DOMAIN of each domain, for every row; null texts are empty. Without labels all domains are as likely."""
     described = _described(docs)
-    present, *logs = _classifier(described, labels)
+    present, *logs = _classifier(docs, labels)
     rows = described.withColumn("present", present).select("doc_id", "th", "tokens", *[x.alias(f"l{i}") for i, x in enumerate(logs)])
     top = F.greatest(*[F.col(f"l{i}") for i in range(len(logs))])
     rows = rows.select("doc_id", "th", "tokens", *[F.exp(F.col(f"l{i}") - top).alias(f"e{i}") for i in range(len(logs))])
@@ -97,24 +99,29 @@ def fit_rates(soft: DataFrame, targets: dict[str, float]) -> Column:
     """The rate of each row of `soft`, as a column, for targets given as multiples of all tokens."""
     p = [F.col(f"p_{d}") for d in DOMAINS]
     k = len(p)
-    moments = soft.agg(F.sum("tokens").alias("all"), *[F.sum(F.col("tokens") * p[i] * p[j]).alias(f"g{i}{j}") for i in range(k) for j in range(k)]).first()
-    if not moments["all"]:
-        return F.lit(1.0)
-    every = float(moments["all"])
-    gram = np.array([[moments[f"g{i}{j}"] for j in range(k)] for i in range(k)]) / every
-    inverse = np.linalg.inv(gram + 1e-9 * np.eye(k))
     target = np.array([targets[d] for d in DOMAINS])
-    rate, best = F.lit(float(target.sum())), (math.inf, None)
+    every = soft.agg(F.sum("tokens")).first()[0]
+    if not every:
+        return F.lit(1.0)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    rate, length = F.lit(float(target.sum())), 1.0
+    best: tuple[float, Column, np.ndarray] = (math.inf, rate, np.zeros(k))
     for _ in range(ROUNDS):
-        got = soft.agg(*[F.sum(F.col("tokens") * rate * p[i]).alias(f"t{i}") for i in range(k)]).first()
-        miss = np.array(got) / every - target
+        used = F.when(rate > 0, F.col("tokens")).otherwise(0.0)
+        got = soft.agg(*[F.sum(F.col("tokens") * rate * x) for x in p], *[F.sum(used * p[i] * p[j]) for i, j in pairs]).first()
+        miss = np.array(got[:k]) / every - target
         off = float(np.abs(miss).max() / max(target.max(), 1e-12))
         if off < best[0]:
-            best = (off, rate)
-        if off < CLOSE:
+            gram = np.zeros((k, k))
+            for (i, j), g in zip(pairs, got[k:]):
+                gram[i, j] = gram[j, i] = g / every
+            best = (off, rate, np.linalg.inv(gram + 1e-9 * np.eye(k)) @ miss)
+            length = min(1.0, 2 * length)
+        else:  # too far, past the point where more rates became zero
+            length /= 4
+        if off < CLOSE or length < 1e-6:
             break
-        step = inverse @ miss
-        rate = F.greatest(F.lit(0.0), rate - sum((p[i] * float(step[i]) for i in range(k)), F.lit(0.0)))
+        rate = F.greatest(F.lit(0.0), best[1] - sum((x * float(s) for x, s in zip(p, length * best[2])), F.lit(0.0)))
     return best[1]
 
 

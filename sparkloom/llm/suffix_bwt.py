@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from sparkloom.llm.common import small, utf8
 from sparkloom.llm.windows import Symbols, merged, repeated_windows
 
-WINDOW, GRAM, STEP, BLOCK = 200, 32, 13, 8
+WINDOW, GRAM, STEP, BLOCK = 200, 32, 43, 8
 #: Blocks that every window contains whole, wherever it starts.
 DEPTH = WINDOW // BLOCK - 1
 #: Blocks of a shard.

@@ -6,7 +6,8 @@ same offset, and neighbouring windows share theirs: a text has about 2 / (window
 whole are represented by one of them. Anchors that occur once in the corpus rule their windows out. The windows of
 the others form one stretch of text per anchor. Equal stretches are summed up ahead of the shuffle, so a passage of many documents
 travels once a task. The different stretches are dealt by their anchor, and an operator's own method compares them
-there. An anchor with more than `CROWD` different stretches gets longer keys: its windows are split by their distance to the
+there, each in the place of its least row (kd, th); what is found holds for all rows of that kd with an equal stretch, which a second
+join tells. An anchor with more than `CROWD` different stretches gets longer keys: its windows are split by their distance to the
 anchor, `step` of them together, and filed under all that these have in common, window - step + 1 symbols. Windows that reach out
 of a common passage then stand alone and are done with. Where even such a key has more than `LONG_CROWD` stretches, the windows go by
 their own 128-bit hash, which counts with partial sums and joins back. So no task has to hold all stretches of an anchor.
@@ -162,7 +163,7 @@ def _stretches(spec: Symbols) -> Callable:
 
 
 def _split(spec: Symbols) -> Callable:
-    """kd, th, s, n, p, bytes of stretches -> the same of their parts, with the part's longer key."""
+    """kd, th, s, n, p, bytes, kind of stretches -> the same of their parts, with the part's longer key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches, 5, SLICE_BYTES):
@@ -180,15 +181,15 @@ def _split(spec: Symbols) -> Callable:
             a, b = (a, b) if begins is None else (begins[a], ends[b - 1] if len(b) else b)
             raw, take = data.tobytes(), pa.array(row)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), pa.array(s[row] + first), pa.array(count.astype(np.int32)), pa.array((p[row] - first).astype(np.int32)), pa.array([raw[x:y] for x, y in zip(a.tolist(), b.tolist())], pa.binary())],
-                ["key", "kd", "th", "s", "n", "p", "bytes"],
+                [pa.array(key.view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), pa.array(s[row] + first), pa.array(count.astype(np.int32)), pa.array((p[row] - first).astype(np.int32)), pa.array([raw[x:y] for x, y in zip(a.tolist(), b.tolist())], pa.binary()), batch.column(6).take(take)],
+                ["key", "kd", "th", "s", "n", "p", "bytes", "kind"],
             )
 
     return run
 
 
 def _windows(spec: Symbols) -> Callable:
-    """kd, th, s, n, bytes of stretches -> a row with a 128-bit hash for each of their windows."""
+    """kd, th, s, n, bytes, kind of stretches -> a row with a 128-bit hash for each of their windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches, 4, SLICE_BYTES):
@@ -200,7 +201,7 @@ def _windows(spec: Symbols) -> Callable:
             start = edges[row] + within
             one, two = Rolling(symbols)(start, start + spec.window, 1), Rolling(mix(symbols.astype(np.uint64)))(start, start + spec.window, 2)
             take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), pa.array(batch.column(2).to_numpy(zero_copy_only=False)[row] + within)], ["w1", "w2", "kd", "th", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), pa.array(batch.column(2).to_numpy(zero_copy_only=False)[row] + within), batch.column(5).take(take)], ["w1", "w2", "kd", "th", "s", "kind"])
 
     return run
 
@@ -215,7 +216,7 @@ def _by_group(compare: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], wind
         last = start[np.concatenate([new[1:], [len(row)]]).astype(np.int64) - 1] if len(row) else first
         take, s = pa.array(row[new]), chunk.column("s").to_numpy()
         at = s[row[new]]
-        return pa.RecordBatch.from_arrays([chunk.column("kd").combine_chunks().take(take), chunk.column("th").combine_chunks().take(take), pa.array(at + first), pa.array(at + last + window)], ["kd", "th", "a", "b"])
+        return pa.RecordBatch.from_arrays([chunk.column("kd").combine_chunks().take(take), chunk.column("th").combine_chunks().take(take), pa.array(at + first), pa.array(at + last + window), chunk.column("kind").combine_chunks().take(take)], ["kd", "th", "a", "b", "kind"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -265,18 +266,26 @@ def repeated_windows(docs: DataFrame, spec: Symbols, compare: Callable, stretch_
     kinds = stretches.groupBy("key", "digest").agg(lead.alias("lead"), F.sum(F.size("starts")).alias("copies"), F.first("n").alias("n"), F.first("p").alias("p"), F.first("bytes").alias("bytes"))
     kinds = materialise(kinds.select("key", "digest", "lead.*", "copies", "n", "p", "bytes"), f"{name}-stretches")
     crowded = kinds.groupBy("key").agg(F.count("*").alias("kinds")).where(F.col("kinds") > CROWD).select("key")
-    columns = ["key", "kd", "th", "s", "n", "p", "bytes"]
-    parts = kinds.join(crowded, "key", "left_semi").select(*columns[1:]).mapInArrow(_split(spec), "key long, kd long, th long, s long, n int, p int, bytes binary")
+    # where an equal stretch doesn't cover the lead, its spans go to all members of its kd, by the digest
+    partly = (F.col("copies") > 1) & ~F.expr(stretch_goes)
+    kinds = kinds.withColumn("least_kd", F.col("kd")).withColumn("kind", F.when(partly, F.col("digest")))
+    columns = ["key", "kd", "th", "s", "n", "p", "bytes", "kind"]
+    parts = kinds.join(crowded, "key", "left_semi").select(*columns[1:]).mapInArrow(_split(spec), "key long, kd long, th long, s long, n int, p int, bytes binary, kind binary")
     sizes = parts.groupBy("key").agg(F.count("*").alias("stretches")).where("stretches > 1")
     few, many = (parts.join(sizes.where(f"stretches {sign} {LONG_CROWD}"), "key", "left_semi") for sign in ("<=", ">"))
     near = kinds.join(crowded, "key", "left_anti").select(*columns).unionByName(few.select(*columns)).repartition(F.col("key")).sortWithinPartitions("key")
-    near = near.mapInArrow(_by_group(compare, spec.window), "kd long, th long, a long, b long")
-    windows = many.select("kd", "th", "s", "n", "bytes").mapInArrow(_windows(spec), "w1 long, w2 long, kd long, th long, s long")
+    near = near.mapInArrow(_by_group(compare, spec.window), "kd long, th long, a long, b long, kind binary")
+    windows = many.select("kd", "th", "s", "n", "bytes", "kind").mapInArrow(_windows(spec), "w1 long, w2 long, kd long, th long, s long, kind binary")
     counts = windows.groupBy("w1", "w2").agg(F.count("*").alias("copies"), F.min("kd").alias("least_kd")).where("copies > 1")
-    far = windows.join(counts, ["w1", "w2"]).where(window_goes).select("kd", "th", F.col("s").alias("a"), (F.col("s") + spec.window).alias("b"))
-    apart = near.union(far).select("kd", "th", F.array("a").alias("starts"), (F.col("b") - F.col("a")).alias("size"))
-    equal = stretches.select("digest", "kd", "th", "starts", "n").join(kinds.where("copies > 1").select("digest", F.col("kd").alias("least_kd"), "copies"), "digest")
-    equal = equal.where(stretch_goes).select("kd", "th", "starts", (F.col("n") + (spec.window - 1)).cast("long").alias("size"))
+    far = windows.join(counts, ["w1", "w2"]).where(window_goes).select("kd", "th", F.col("s").alias("a"), (F.col("s") + spec.window).alias("b"), "kind")
+    apart = materialise(near.union(far).select("kd", "th", "a", (F.col("b") - F.col("a")).alias("size"), "kind"), f"{name}-apart")
+    inner = apart.where("kind is not null").groupBy(F.col("kind").alias("digest")).agg(F.collect_list(F.struct("a", "size")).alias("inner"))
+    of_kind = kinds.where("copies > 1").select("digest", "least_kd", "copies", F.col("s").alias("lead_s")).join(inner, "digest", "left")
+    members = stretches.select("digest", "kd", "th", "starts", "n").join(of_kind, "digest")
+    all_of_it = F.array(F.struct(F.col("starts"), (F.col("n") + (spec.window - 1)).cast("long").alias("size")))
+    some_of_it = F.transform("inner", lambda x: F.struct(F.transform("starts", lambda s: s + x["a"] - F.col("lead_s")).alias("starts"), x["size"].alias("size")))
+    equal = members.select("kd", "th", F.explode(F.when(F.expr(stretch_goes), all_of_it).otherwise(some_of_it)).alias("x")).select("kd", "th", "x.starts", "x.size")
+    apart = apart.where("kind is null").select("kd", "th", F.array("a").alias("starts"), "size")
     spans = apart.union(equal).groupBy("kd", "th").agg(F.collect_list(F.struct("starts", "size")).alias("spans"))
     return survey.drop("anchors", "times"), first, texts.select("kd", "th", "text").join(spans, ["kd", "th"])
 

@@ -128,6 +128,28 @@ def test_word_windows_against_brute_force(spark, monkeypatch, crowd, long):
     assert sorted((r.doc_id or -1, r.n_words, r.n_removed, r.kept_sha256) for r in found) == sorted(expected)
 
 
+@pytest.mark.parametrize("crowd,long", PATHS)
+def test_repeats_inside_a_document_go_with_an_earlier_one(spark, monkeypatch, crowd, long):
+    monkeypatch.setattr(windows, "CROWD", crowd)
+    monkeypatch.setattr(windows, "LONG_CROWD", long)
+    for seed in range(3):
+        u, v, x, y, p = ([f"{c}{seed}w{i}" for i in range(60)] for c in "uvxyp")
+        rows = [(1, u + p + v), (2, x + p + y + x + p + y), (3, x + p + y), (3, v + x + p + y + v)]
+        least, expected = {}, []
+        for i, w in rows:
+            for k in range(len(w) - 49):
+                least[tuple(w[k : k + 50])] = min(least.get(tuple(w[k : k + 50]), i), i)
+        for i, w in rows:
+            gone = [False] * len(w)
+            for k in range(len(w) - 49):
+                if least[tuple(w[k : k + 50])] < i:
+                    gone[k : k + 50] = [True] * 50
+            expected.append((i, sum(gone), hashlib.sha256(" ".join(a for a, g in zip(w, gone) if not g).encode()).hexdigest()))
+        assert (2, 120) in [e[:2] for e in expected]
+        found = suffix_tree.dedup_windows(frame(spark, [(i, " ".join(w)) for i, w in rows])).collect()
+        assert sorted((r.doc_id, r.n_removed, r.kept_sha256) for r in found) == sorted(expected)
+
+
 @pytest.mark.parametrize("crowd,long", PATHS)
 def test_byte_windows_against_brute_force(spark, monkeypatch, crowd, long):
     monkeypatch.setattr(windows, "CROWD", crowd)

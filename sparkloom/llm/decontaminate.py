@@ -4,7 +4,8 @@ Words lose outer punctuation and case; numbers, units of measure and names (capi
 formed with names left as words, for texts that write everything in capitals. Windows of WIDTH canonical words of
 documents are hash-joined with those of the benchmark items, so a question with other parameters still meets its original. Matches are lined up by the
 distance between the window's place in the document and in the item: along one line, equal slot values of the item must stand for equal values in the document,
-or the line doesn't count. A document is contaminated by an item of whose windows it has COVER or more on consistent lines.
+or the line doesn't count. A document is contaminated by an item of whose windows it has COVER or more on consistent lines, or of which it has RUN canonical words
+in a row on one such line, whatever their share. Windows are also formed at the lengths of items shorter than WIDTH, which so are met inside longer documents.
 
 A filter of fixed size, FILTER bits set by the hashes of the benchmark's windows, keeps windows that can't match from leaving the scan; it has
 false positives only, and the join decides."""
@@ -15,13 +16,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import NULL_ID, SLICE_BYTES, Rolling, materialise, small, stretch_hashes, text_of, utf8, words_of
 from sparkloom.llm.toxicity import LOWER
 
-WIDTH, COVER, FILTER = 5, 0.5, 1 << 20
+WIDTH, COVER, RUN, FILTER = 5, 0.5, 13, 1 << 20
 #: Words that are units of measure.
 UNITS = (
     "mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg lb lbs oz gram grams pound pounds ton tons ml l litre litres liter liters gallon gallons "
@@ -74,15 +75,18 @@ def canonical(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     return plain, np.where(is_name & ~is_slot, NAME, plain), is_slot, is_slot | is_name, begins, ends, edges
 
 
-def template_windows(data: np.ndarray, at: np.ndarray, passes: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[str]]]:
-    """Row, place, hash and slot values of the windows that have a word of their own, of those that pass the filter. A text of
-    fewer than WIDTH words is one window. A window with names comes twice, with names as slots and as words in lower case."""
+def template_windows(data: np.ndarray, at: np.ndarray, passes: np.ndarray | None, widths: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[list[str]]]:
+    """Row, place, width, hash and slot values of the windows that have a word of their own, of those that pass the filter. Without
+    widths, a text of fewer than WIDTH words is one window; else it has the windows of each of the widths. A window with names comes twice, with names as slots and as words in lower case."""
     plain, named, slot, named_slot, begins, ends, edges = canonical(data, at)
     n = np.diff(edges)
-    many = np.maximum(n - WIDTH + 1, (n > 0).astype(np.int64))
-    row = np.repeat(np.arange(len(n)), many)
-    first = edges[row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-    last = np.minimum(first + WIDTH, edges[row + 1])
+    rows, firsts, lasts = [], [], []
+    for width in widths or [WIDTH]:
+        many = np.maximum(n - width + 1, 0 if widths else (n > 0).astype(np.int64))
+        rows.append(np.repeat(np.arange(len(n)), many))
+        firsts.append(edges[rows[-1]] + np.arange(len(rows[-1])) - np.repeat(np.cumsum(many) - many, many))
+        lasts.append(np.minimum(firsts[-1] + width, edges[rows[-1] + 1]))
+    row, first, last = (np.concatenate(x) for x in (rows, firsts, lasts))
     raw = data.tobytes()
     found: list[tuple] = []
     names = np.concatenate([[0], np.cumsum(named_slot & ~slot)])
@@ -95,27 +99,27 @@ def template_windows(data: np.ndarray, at: np.ndarray, passes: np.ndarray | None
         if passes is not None:
             keep &= passes[(key & np.uint64(FILTER - 1)).astype(np.int64)]
         values = [[raw[begins[i] : ends[i]].decode("utf-8", "replace") for i in range(a, b) if is_slot[i]] for a, b in zip(first[keep].tolist(), last[keep].tolist())]
-        found.append((row[keep], (first - edges[row])[keep], key[keep].view(np.int64), values))
-    return (*(np.concatenate([x[i] for x in found]) for i in range(3)), found[0][3] + found[1][3])
+        found.append((row[keep], (first - edges[row])[keep], (last - first)[keep], key[keep].view(np.int64), values))
+    return (*(np.concatenate([x[i] for x in found]) for i in range(4)), found[0][4] + found[1][4])
 
 
-def _emit(passes) -> Callable:
+def _emit(passes, widths: list[int] | None = None) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches, 2, SLICE_BYTES):
             at, data = utf8(batch.column(2))
-            row, place, key, values = template_windows(data, at, passes.value if passes else None)
+            row, place, width, key, values = template_windows(data, at, passes.value if passes else None, widths)
             take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(place), pa.array(key), pa.array(values, pa.list_(pa.string()))], ["id", "th", "place", "key", "slots"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(place), pa.array(width), pa.array(key), pa.array(values, pa.list_(pa.string()))], ["id", "th", "place", "width", "key", "slots"])
 
     return run
 
 
-_WINDOW = "id long, th long, place long, key long, slots array<string>"
+_WINDOW = "id long, th long, place long, width long, key long, slots array<string>"
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(id, th, items, cover) of the documents that an item contaminates: doc_id with null as NULL_ID, the text's 64-bit hash,
-    the item_ids in order, and the highest share of an item's windows.
+    the item_ids in order, and the highest share of such an item's windows.
 
     Null and empty texts have no windows; rows of a null item_id are left out. Repeated documents and items are judged once. Other columns are ignored."""
     spark = docs.sparkSession
@@ -124,17 +128,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     passes = np.zeros(FILTER, bool)
     places = asked.select(F.col("key").bitwiseAND(F.lit(FILTER - 1)).alias("bit")).distinct().toPandas()["bit"]  # FILTER at most
     passes[places.to_numpy(np.int64)] = True
+    short = [r["width"] for r in asked.where(F.col("width") < WIDTH).select("width").distinct().collect()]  # WIDTH - 1 at most
     text = text_of(docs)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    found = rows.mapInArrow(_emit(spark.sparkContext.broadcast(passes)), _WINDOW)
+    found = rows.mapInArrow(_emit(spark.sparkContext.broadcast(passes), [WIDTH, *sorted(short)]), _WINDOW).withColumnRenamed("width", "doc_width")
     sizes = asked.groupBy(F.col("id").alias("item_id"), F.col("th").alias("item_th")).agg(F.count_distinct("place").alias("windows"))
-    of_item = asked.select(F.col("id").alias("item_id"), F.col("th").alias("item_th"), F.col("place").alias("item_place"), "key", F.col("slots").alias("item_slots"))
-    met = materialise(found.join(of_item, "key").withColumn("line", F.col("place") - F.col("item_place")), "matches")
+    of_item = asked.select(F.col("id").alias("item_id"), F.col("th").alias("item_th"), F.col("place").alias("item_place"), "width", "key", F.col("slots").alias("item_slots"))
+    of_item = of_item.withColumn("nth", F.dense_rank().over(Window.partitionBy("item_id", "item_th").orderBy("item_place")))
+    met = materialise(found.join(of_item, "key").where("doc_width = width").withColumn("line", F.col("place") - F.col("item_place")), "matches")
     line = ["id", "th", "item_id", "item_th", "line"]
     pairs = met.where(F.size("slots") > 0).select(*line, F.explode(F.arrays_zip("item_slots", "slots")).alias("z"))
     torn = pairs.groupBy(*line, F.col("z.item_slots").alias("value")).agg(F.min("z.slots").alias("a"), F.max("z.slots").alias("b")).where("a <> b").select(*line).distinct()
-    covered = met.join(torn, line, "left_anti").groupBy(*line[:-1]).agg(F.count_distinct("item_place").alias("n")).join(sizes, ["item_id", "item_th"])
-    hits = covered.withColumn("cover", F.col("n") / F.col("windows")).where(F.col("cover") >= COVER)
+    lined = materialise(met.join(torn, line, "left_anti").select(*line, "item_place", "nth").distinct(), "lines")
+    covered = lined.groupBy(*line[:-1]).agg(F.count_distinct("item_place").alias("n")).join(sizes, ["item_id", "item_th"])
+    # windows of slots only are in no table, so neighbours are those with nothing between them there
+    ahead = F.row_number().over(Window.partitionBy(*line).orderBy("nth"))
+    runs = lined.withColumn("run", F.col("nth") - ahead).groupBy(*line, "run").agg((F.max("item_place") - F.min("item_place") + WIDTH).alias("words"))
+    longest = runs.groupBy(*line[:-1]).agg(F.max("words").alias("words"))
+    hits = covered.join(longest, line[:-1]).withColumn("cover", F.col("n") / F.col("windows")).where((F.col("cover") >= COVER) | (F.col("words") >= RUN))
     return hits.groupBy("id", "th").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.max("cover").alias("cover"))
 
 

@@ -133,6 +133,25 @@ def test_torn_slots_don_t_count(spark):
     assert {r.doc_id: r.contaminated for r in found.collect()} == {1: True, 2: False}
 
 
+def test_long_runs_and_short_items_are_caught(spark):
+    words = [f"{a}{b}" for a in "bcdfgh" for b in ("alo", "emi", "iru", "ona", "upe", "yse", "arn", "est", "isk", "olm")]
+    items = spark.createDataFrame([(1, " ".join(words[:59])), (2, "who wrote hamlet")], "item_id long, text string")
+    filler = "nothing to see here at all in this plain text"
+    rows = [(10, f"{filler} {' '.join(words[20:33])} {filler}"), (11, f"{filler} {' '.join(words[20:32])} {filler}"), (12, f"{filler}, who wrote Hamlet? {filler}"), (13, f"{filler} who wrote {filler} hamlet")]
+    # words of two places of the item, seven in a row each, are no run
+    rows += [(14, f"{' '.join(words[2:9])} {filler} {' '.join(words[30:37])}"), (15, "who wrote hamlet"), (16, filler)]
+    found = {r.doc_id: r["items"] for r in decontaminate.flag(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
+    assert found == {10: [1], 11: [], 12: [2], 13: [], 14: [], 15: [2], 16: []}
+
+
+def test_slots_in_a_row_don_t_break_a_run(spark):
+    words = [f"{a}{b}" for a in "bcdfgh" for b in ("alo", "emi", "iru", "ona", "upe", "yse", "arn", "est", "isk", "olm")]
+    run = " ".join(words[20:25]) + " 4 km 7 kg 9 " + " ".join(words[25:30])
+    items = spark.createDataFrame([(1, " ".join(words[:20]) + f" {run} " + " ".join(words[30:50]))], "item_id long, text string")
+    found = decontaminate.flag(spark.createDataFrame([(1, f"so {run} so")], "doc_id long, text string"), items).first()
+    assert found.contaminated and found.cover < decontaminate.COVER
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_queries_match_their_sql(spark, name):
     con = duckdb.connect()

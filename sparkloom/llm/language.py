@@ -5,7 +5,8 @@ inner byte 2- and 3-grams, and the word itself (lexicon). Learned transitions li
 forward-backward over the chain gives each word's label probabilities, so a passage in another language keeps its own labels. The text's language is
 the one with the most label probability over words with letters; its share of them is the score.
 
-Weights are fitted on a sample of about ROWS documents of each of the LANGUAGES most frequent languages, of at most LONGEST characters each.
+Weights are fitted on a sample of about ROWS documents of every language, one at least; a document of more than LONGEST characters
+is read in PIECES stretches spread over it. Training goes over the chains in blocks, so its memory doesn't grow with their number times the languages.
 Half of the training chains are spliced from two documents, which is what teaches the transitions to switch."""
 
 from __future__ import annotations
@@ -15,16 +16,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import SLICE_BYTES, Rolling, crc_mod, small, text_of, utf8, words_of
 from sparkloom.llm.toxicity import LOWER
 
-ROWS, LANGUAGES, LONGEST = 150, 64, 100_000
+ROWS, LONGEST, PIECES = 150, 100_000, 20
 FOLDS, HELD_OUT = 3, 1
 CHAIN, TRAIN_CHAIN, BUCKETS, ROUNDS, RATE, RIDGE = 64, 32, 1 << 16, 40, 0.1, 1e-3
 AFFIX = 4
+#: Label probabilities that a training step or a prediction holds at a time, about.
+BLOCK = 1 << 23
 UNKNOWN = "und"
 
 
@@ -118,15 +121,22 @@ def train(texts: list[str], names: list[str]) -> Model:
     k = len(languages)
     follows = inside[:, 1:]
     moved = np.bincount((truth[:, :-1] * k + truth[:, 1:])[follows], minlength=k * k).reshape(k, k).astype(float)
-    flat, total = at_word[inside], inside.sum()
-    hit = np.zeros((len(flat), k))
-    hit[np.arange(len(flat)), truth[inside]] = 1
+    total, most, n = inside.sum(), max(1, BLOCK // (TRAIN_CHAIN * k)), int(place.max()) + 1
     slope = [np.zeros_like(model.weights), np.zeros_like(model.moves)]
     square = [np.zeros_like(x) for x in slope]
     for i in range(1, ROUNDS + 1):
-        p, expected = forward_backward(emissions(model, lettered, place, word, bucket)[at_word], size, model.moves)
-        miss = (hit - p[inside]) * lettered[flat][:, None]
-        of_word = np.stack([np.bincount(place[flat], miss[:, c], int(place.max()) + 1) for c in range(k)], 1)
+        own = np.stack([np.bincount(word, model.weights[bucket, c], n) for c in range(k)], 1)
+        of_word, expected = np.zeros((n, k)), np.zeros((k, k))
+        for lo in range(0, len(at_word), most):
+            at, real = at_word[lo : lo + most], inside[lo : lo + most]
+            p, moves = forward_backward(own[place[at]] * lettered[at][:, :, None], size[lo : lo + most], model.moves)
+            flat, p = at[real], p[real]
+            miss = -p
+            miss[np.arange(len(flat)), truth[lo : lo + most][real]] += 1
+            miss *= lettered[flat][:, None]
+            for c in range(k):
+                of_word[:, c] += np.bincount(place[flat], miss[:, c], n)
+            expected += moves
         up = [np.stack([np.bincount(bucket, of_word[word, c], BUCKETS) for c in range(k)], 1), moved - expected]
         for x, g, s, q in zip((model.weights, model.moves), up, slope, square):
             g = g / total - RIDGE * x / 100
@@ -136,16 +146,28 @@ def train(texts: list[str], names: list[str]) -> Model:
     return model
 
 
+def _bounded(text: str) -> Column:
+    """The text, or of a longer one than LONGEST the same number of characters in stretches spread evenly from its start to its end."""
+    size = LONGEST // PIECES
+    part = lambda i: F.substring(F.col(text), (F.lit(1) + F.floor(i * (F.length(text) - size) / (PIECES - 1))).cast("int"), F.lit(size))
+    return F.when(F.length(text) <= LONGEST, F.col(text)).otherwise(F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), part)))
+
+
 def fit(docs: DataFrame) -> Model:
-    """The model of documents with a language whose crc32 remainder isn't the held-out one. Without any, every text is `und`."""
+    """The model of all languages of documents whose crc32 remainder isn't the held-out one. Without any, every text is `und`.
+
+    Rows are drawn by a hash of doc_id and text, equal ones once; of each language the row with the least hash is drawn for certain."""
     rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), text_of(docs).alias("text"))
-    rows = rows.where(f"lang is not null and length(text) <= {LONGEST}").where(crc_mod("doc_id", FOLDS) != HELD_OUT)
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    rows = rows.where("lang is not null").where(crc_mod("doc_id", FOLDS) != HELD_OUT)
+    rows = rows.withColumn("draw", F.pmod(F.xxhash64("doc_id", "text", F.lit("language")), F.lit(1 << 30)) / float(1 << 30))
+    # a row whose text has no word is the last choice
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min(F.struct(F.trim("text") == "", "draw")).alias("first")).select("lang", "n", F.col("first.draw").alias("least"))
+    sizes = sizes.collect()  # a row a language, as many as the model has columns
     if not sizes:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros((0, 0)))
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], ROWS / r["count"])])
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.where(draw < share[F.col("lang")]).orderBy("doc_id", F.xxhash64("text")).limit(2 * ROWS * len(sizes)).select("text", "lang").toPandas()
+    share = docs.sparkSession.createDataFrame([(r["lang"], ROWS / r["n"], r["least"]) for r in sizes], "lang string, share double, least double")
+    drawn = rows.join(F.broadcast(share), "lang").where("draw < share or draw = least")
+    sample = drawn.select("doc_id", "lang", _bounded("text").alias("text")).dropDuplicates(["lang", "text"]).orderBy("doc_id", F.xxhash64("text"), "lang").select("text", "lang").toPandas()
     return train(sample["text"].tolist(), sample["lang"].tolist())
 
 
@@ -160,12 +182,12 @@ def label_words(model: Model, data: np.ndarray, at: np.ndarray) -> tuple[np.ndar
     return edges, lettered, p
 
 
-def _pieces(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _pieces(data: np.ndarray, at: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Rows with their data in steps of bounded size; a long text comes in pieces that end at white space, where there is any."""
     for row in range(0, len(at) - 1):
         lo = int(at[row])
         while lo < at[row + 1]:
-            hi = min(lo + SLICE_BYTES, int(at[row + 1]))
+            hi = min(lo + most, int(at[row + 1]))
             if hi < at[row + 1]:
                 blank = np.flatnonzero(data[lo:hi] <= 32)
                 hi = lo + int(blank[-1]) + 1 if len(blank) else hi
@@ -180,7 +202,8 @@ def predict(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray]:
         return [UNKNOWN] * rows, np.zeros(rows)
     at, data = utf8(column)
     mass, words = np.zeros((rows, k)), np.zeros(rows)
-    parts = [(slice(None), data, at)] if len(data) <= SLICE_BYTES else _pieces(data, at)
+    most = min(SLICE_BYTES, max(1 << 12, BLOCK * 4 // k))
+    parts = [(slice(None), data, at)] if len(data) <= most else _pieces(data, at, most)
     for row, piece, own in parts:
         edges, lettered, p = label_words(model, piece, own)
         sums = np.concatenate([np.zeros((1, k)), np.cumsum(p * lettered[:, None], 0)])

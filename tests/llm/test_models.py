@@ -81,6 +81,23 @@ def test_language_on_held_out_rows(data):
     assert labels[:15].count("en") > 12 and labels[-15:].count("es") > 12
 
 
+def test_every_language_is_learned(spark):
+    rng, rows = random.Random(8), []
+    for i in range(70):
+        sounds = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3)) for _ in range(6)]
+        text = lambda n: " ".join("".join(rng.choice(sounds) for _ in range(2)) for _ in range(n))  # noqa: E731, B023
+        rows += [(100 * i + j, text(40), f"l{i:02}") for j in range(6)]
+    rows += [(8000 + j, "zuk zak " * 14_000 + f"zok{j}", "long") for j in range(6)]  # over 100,000 characters each
+    rows += [(None, "quorx quirx", "copies") for _ in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    assert model.languages == sorted({r[2] for r in rows})
+    found = language.identify(docs, model).collect()
+    truth = {r[0]: r[2] for r in rows}
+    assert sum(r.lang_pred == truth[r.doc_id] for r in found) / len(found) > 0.97
+    assert {r.lang_pred for r in found if r.doc_id and r.doc_id >= 8000} == {"long"} and {r.lang_pred for r in found if r.doc_id is None} == {"copies"}
+
+
 def test_language_without_training_rows(data):
     docs, *_ = data
     assert {r.lang_pred for r in language.identify(docs, language.fit(docs.limit(0))).collect()} == {"und"}

@@ -195,6 +195,17 @@ def _pieces(data: np.ndarray, at: np.ndarray, most: int) -> Iterator[tuple[int,
             lo = hi
 
 
+def has_letter(column: pa.Array) -> np.ndarray:
+    """Which texts of a batch have a letter of any script."""
+    at, data = utf8(column)
+    plain = np.concatenate([[0], np.cumsum(((data | 32) >= 97) & ((data | 32) <= 122) & (data < 128))])
+    beyond = np.concatenate([[0], np.cumsum(data >= 128)])
+    known = plain[at[1:]] > plain[at[:-1]]
+    for i in np.flatnonzero(~known & (beyond[at[1:]] > beyond[at[:-1]])):  # only other scripts or signs: ask for a letter
+        known[i] = any(c.isalpha() for c in column[int(i)].as_py())
+    return known
+
+
 def predict(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray]:
     """Language and score of each text of a batch of bounded size."""
     k, rows = len(model.languages), len(column)
@@ -211,10 +222,7 @@ def predict(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray]:
         pick = 0 if isinstance(row, int) else slice(None)
         mass[row] += (sums[edges[1:]] - sums[edges[:-1]])[pick]
         words[row] += (count[edges[1:]] - count[edges[:-1]])[pick]
-    plain = np.concatenate([[0], np.cumsum(((data | 32) >= 97) & ((data | 32) <= 122) & (data < 128))])
-    known = plain[at[1:]] > plain[at[:-1]]
-    for i in np.flatnonzero(~known & (words > 0)):  # only other scripts or signs: ask for a letter
-        known[i] = any(c.isalpha() for c in column[int(i)].as_py())
+    known = has_letter(column)
     best = mass.argmax(1)
     score = np.where(known & (words > 0), mass[np.arange(rows), best] / np.maximum(words, 1), 0).clip(0, 1).round(9)
     return [model.languages[b] if ok else UNKNOWN for b, ok in zip(best, known)], score
@@ -233,14 +241,18 @@ def _keep(model, text: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches, text, SLICE_BYTES):
             column = batch.column(text)
-            names, _ = predict(model.value, column.fill_null("") if column.null_count else column)
-            yield batch.filter(pa.array([n != UNKNOWN for n in names], pa.bool_()))
+            column = column.fill_null("") if column.null_count else column
+            if model.value.languages:
+                kept = [n != UNKNOWN for n in predict(model.value, column)[0]]
+            else:
+                kept = has_letter(column)
+            yield batch.filter(pa.array(kept, pa.bool_()))
 
     return run
 
 
 def keep_known(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs, all their columns as they are, whose text has a language."""
+    """The rows of docs, all their columns as they are, whose text has a language. Of a model that learned none, the rows whose text has a letter."""
     return docs.mapInArrow(_keep(docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")), docs.schema)
 
 

@@ -103,6 +103,12 @@ def test_language_without_training_rows(data):
     assert {r.lang_pred for r in language.identify(docs, language.fit(docs.limit(0))).collect()} == {"und"}
 
 
+def test_without_a_language_only_letterless_texts_go(data):
+    docs, _, rows, _ = data
+    model = language.fit(docs.withColumn("lang", docs.lang.substr(1, 0)).where("lang is null"))
+    assert model.languages == [] and language.keep_known(docs, model).count() == len(rows) - 3
+
+
 def test_forward_backward_against_all_paths():
     rng = np.random.default_rng(4)
     scores, moves = rng.normal(size=(2, 4, 3)), rng.normal(size=(3, 3))

@@ -8,11 +8,17 @@ in unary (0, 1, 11), which makes their Manhattan distance the bit count of an ex
 
 A cell with more than `CELL` different fingerprints isn't paired up: its members are linked exactly through the 65
 points within one bit of each of them, as two fingerprints differ in at most two bits just when they share
-such a point. A point has at most 65 fingerprints, so no group grows with the data."""
+such a point. A point has at most 65 fingerprints, so no group grows with the data.
+
+`similar_documents` finds texts by the Jaccard likeness of their shingle sets, for which one fingerprint of 64 bits is too coarse: at a likeness of 0.8 two
+fingerprints differ in about ten bits, and no cell of so few common segments tells texts apart. So each text also has SAMPLES fingerprints of TAKEN shingles each,
+drawn by hashes that all texts share; their segment counts are its cells of the grid. Of what meets there, sizes, the Manhattan and then the Hamming distance of the whole
+texts' fingerprints (RANGE) rule out most, and the shingle sets themselves decide."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -21,13 +27,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import materialise, text_of, utf8
+from sparkloom.llm.common import Rolling, materialise, mix, small, stretch_hashes, text_of, utf8, words_of
 from sparkloom.llm.components import connected_components
 
 SHINGLE, SEED, DISTANCE, GROUPS, CELL = 3, 42, 2, 5, 64
 #: Shingles that are hashed and counted at a time.
 BLOCK = 1 << 16
 ODD = 0x5555555555555555
+#: Shingle size and likeness of `similar_documents`.
+WORDS, SIMILARITY = 5, 0.8
+#: Two texts of likeness j share a sample with probability 1 - (1 - j**TAKEN)**SAMPLES: 0.998 at 0.8, 0.9999 at 0.85.
+SAMPLES, TAKEN = 20, 6
+#: Bits in which the fingerprints of similar texts may differ. At a likeness of 0.8 ten are expected, with a deviation of three.
+RANGE = 24
 
 
 def fingerprint(text: bytes) -> int:
@@ -115,6 +127,125 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return rows.join(of_class, "fp").select("doc_id", "fp", "component_id")
 
 
+def shingle_hashes(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of `size` words of texts, A-Z in lower case, and the first of each row (one more). Fewer words are one shingle."""
+    at, data = utf8(column)
+    upper = (data >= 65) & (data <= 90)
+    data = data + upper.astype(np.uint8) * np.uint8(32)
+    begins, ends, edges = words_of(data, at)
+    words, n = stretch_hashes(data, begins, ends), np.diff(edges)
+    many = np.where(n > 0, np.maximum(n - size + 1, 1), 0)
+    row = np.repeat(np.arange(len(n)), many)
+    first = edges[row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+    return Rolling(words)(first, np.minimum(first + size, edges[row + 1])), np.concatenate([[0], np.cumsum(many)])
+
+
+def _majority(hashes: np.ndarray) -> np.ndarray:
+    """SimHash over the last axis."""
+    bits = np.unpackbits(hashes.astype(">u8")[..., None].view(np.uint8), axis=-1)
+    return np.packbits(2 * bits.sum(-2, dtype=np.int32) > hashes.shape[-1], axis=-1).view(">u8")[..., 0].astype(np.uint64)
+
+
+def _sketch(size: int) -> Callable:
+    """doc_id, text -> doc_id, digest of the shingle set, its size, fingerprint, and the sample fingerprints."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        draw = mix(np.arange(1, 2 * SAMPLES * TAKEN + 1, dtype=np.uint64)).reshape(2, -1)
+        draw[0] |= np.uint64(1)
+        for batch in small(batches, 1):
+            hashes, edges = shingle_hashes(batch.column(1), size)
+            digests, n, fps = [], np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.uint64)
+            for i, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
+                own = np.unique(hashes[a:b])
+                digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
+                n[i] = len(own)
+                ones = np.zeros(64, np.int64)
+                for lo in range(0, len(own), BLOCK):
+                    ones += np.unpackbits(own[lo : lo + BLOCK].astype(">u8").view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
+                fps[i] = np.packbits(2 * ones > len(own)).view(">u8")[0]
+            some = np.flatnonzero(n)
+            least = np.zeros((len(some), SAMPLES * TAKEN), np.uint64)
+            if len(some):
+                for k in range(SAMPLES * TAKEN):
+                    with np.errstate(over="ignore"):
+                        least[:, k] = np.minimum.reduceat(mix(hashes * draw[0, k] + draw[1, k]), edges[some])
+            samples = np.zeros((batch.num_rows, SAMPLES), np.uint64)
+            samples[some] = _majority(least.reshape(len(some), SAMPLES, TAKEN))
+            ends = pa.array(np.arange(0, SAMPLES * batch.num_rows + 1, SAMPLES, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(digests, pa.binary()), pa.array(n), pa.array(fps.view(np.int64)), pa.ListArray.from_arrays(ends, pa.array(samples.view(np.int64).ravel()))],
+                ["doc_id", "digest", "n", "fp", "samples"],
+            )
+
+    return run
+
+
+def _sets(size: int) -> Callable:
+    """id, text -> id and the sorted shingle hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches, 1):
+            hashes, edges = shingle_hashes(batch.column(1), size)
+            own = [np.unique(hashes[a:b]).view(np.int64) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
+            at = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(at, pa.array(np.concatenate([*own, np.zeros(0, np.int64)])))], ["id", "shingles"])
+
+    return run
+
+
+def _may_be_similar(a: str, b: str, similarity: float) -> Column:
+    """By sizes and fingerprints alone."""
+    n = [F.col(f"{x}.n") for x in (a, b)]
+    manhattan = F.bit_count(F.col(f"{a}.counts").bitwiseXOR(F.col(f"{b}.counts"))) <= RANGE
+    return (F.least(*n) >= similarity * F.greatest(*n) - 1e-9) & manhattan & (F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= RANGE)
+
+
+def similar_documents(docs: DataFrame, size: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id and component_id (the least doc_id reachable over links of texts whose shingle sets have a Jaccard likeness of `similarity` or more) for every doc_id of docs.
+
+    A document is a doc_id: rows that share one count as one document with several texts. Rows of a null doc_id take no part and aren't returned. Texts of fewer words
+    than `size` are one shingle; wordless texts, null ones too, are all alike. Other columns are ignored. An empty table gives no rows.
+
+    Equal shingle sets are one class, whatever their number. In every cell of the grid all classes are first held against the least of the cell; only those that this
+    leaves unconnected are then held against each other. So a group of copies costs as many comparisons as it has different texts, and no link between different texts
+    that meet is lost."""
+    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
+    rows = materialise(texts.mapInArrow(_sketch(size), "doc_id long, digest binary, n long, fp long, samples array<long>"), "sketches")
+    classes = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "fp", "samples")).alias("c")).select("digest", "c.*")
+    classes = materialise(classes.withColumnRenamed("doc_id", "id"), "classes")
+    points = classes.where("n > 0").select("id", F.struct("n", "fp", _counts("fp").alias("counts")).alias("p"), F.posexplode("samples").alias("sample", "f"))
+    keyed = points.select("id", "p", "sample", _counts("f").alias("cell"))
+    cells = keyed.groupBy("sample", "cell").agg(F.count("*").alias("many"), F.min(F.struct("id", "p")).alias("hub")).where("many > 1")
+    met = materialise(keyed.join(cells, ["sample", "cell"]).select("sample", "cell", "id", "p", F.col("hub.id").alias("hub"), F.col("hub.p").alias("h")), "cells")
+    first = met.where("id <> hub").where(_may_be_similar("p", "h", similarity)).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    first = materialise(first, "pairs")
+    links = materialise(_similar(texts, first, size, similarity), "similar")
+    roots = connected_components(links, "a", "b")
+    apart = met.join(roots, met.id == roots.node, "left").select("sample", "cell", "id", F.struct("p.*", F.coalesce("root", "id").alias("root")).alias("p"))
+    split = apart.groupBy("sample", "cell").agg(F.min("p.root").alias("x"), F.max("p.root").alias("y")).where("x <> y").select("sample", "cell")
+    apart = materialise(apart.join(split, ["sample", "cell"]), "apart")
+    a, b = apart.select("sample", "cell", F.col("id").alias("a"), F.col("p").alias("pa")), apart.select("sample", "cell", F.col("id").alias("b"), F.col("p").alias("pb"))
+    rest = a.join(b, ["sample", "cell"]).where("a < b and pa.root <> pb.root").where(_may_be_similar("pa", "pb", similarity)).select("a", "b").distinct()
+    rest = materialise(rest.join(first, ["a", "b"], "left_anti"), "pairs")
+    links = links.union(materialise(_similar(texts, rest, size, similarity), "similar"))
+    # the classes of a doc_id with several texts are one document
+    same = rows.join(classes.select("digest", "id"), "digest").select(F.col("doc_id").alias("a"), F.col("id").alias("b")).distinct()
+    several = same.groupBy("a").agg(F.min("b").alias("x"), F.max("b").alias("y")).where("x <> y").select("a")
+    links = links.union(same.join(several, "a").where("a <> b"))
+    roots = connected_components(links, "a", "b")
+    own = same.groupBy("a").agg(F.min("b").alias("b"))
+    return own.join(roots, own.b == roots.node, "left").select(F.col("a").alias("doc_id"), F.coalesce("root", "b").alias("component_id"))
+
+
+def _similar(texts: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of doc_ids whose shingle sets have that likeness."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = materialise(texts.join(ids, "doc_id", "left_semi").mapInArrow(_sets(size), "id long, shingles array<long>"), "sets")
+    of_a, of_b = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
+    common = F.size(F.array_intersect("x", "y"))
+    return pairs.join(of_a, "a").join(of_b, "b").where(common >= similarity * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b").distinct()
+
+
 def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The rows of docs with the least doc_id of their component; rows without a doc_id have nothing to be compared by and stay."""
     drop = found.where("component_id is not null and doc_id <> component_id").select("doc_id").distinct()

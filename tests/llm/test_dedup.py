@@ -45,6 +45,11 @@ def simhash_of(text):
     return sum(1 << b for b in range(64) if 2 * counts[b] > len(shingles))
 
 
+def shingles(text, size=5):
+    words = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+
+
 def closure(items, linked):
     root = {x: x for x in items}
 
@@ -101,6 +106,40 @@ def test_first_of_each_keeps_one(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 2, 9]
 
 
+def near_copies(seed):
+    """Chains, crowds and pairs of near copies, of which some are just below the likeness."""
+    rng, rows = random.Random(seed), []
+    make = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    for n in (6, 12, 40, 90, 200, 700):
+        base = make(n)
+        for _ in range(25):
+            now = base[:]
+            for _ in range(rng.choice([0, 1, 1, 2, n // 60, n // 30, n // 20])):
+                now[rng.randrange(n)] = f"x{rng.randrange(99999)}"
+            rows.append(" ".join(now).title() if rng.random() < 0.3 else "  ".join(now))
+            if rng.random() < 0.2:
+                base = now  # a chain that drifts away
+    rng.shuffle(rows)
+    return [(i, t) for i, t in enumerate(rows)] + [(900, None), (901, ""), (902, "\n "), (903, "one two"), (904, "ONE two"), (905, "one three"), (910, " ".join(make(30_000))), (None, rows[0]), (None, None)]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_similar_documents_against_brute_force(spark, seed):
+    rows = near_copies(seed)
+    rows += [(911, rows[-3][1] + " more"), (3, rows[3][1])]  # a repeated row
+    sets = {i: shingles(t) for i, t in rows if i is not None}
+    expected = closure(sorted(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    found = {r.doc_id: r.component_id for r in simhash.similar_documents(frame(spark, rows)).collect()}
+    assert found == expected and expected[902] == 900 and expected[904] == 903 and expected[911] == 910
+    assert simhash.similar_documents(frame(spark, [])).count() == simhash.similar_documents(frame(spark, [(None, "a")])).count() == 0
+
+
+def test_a_doc_id_with_several_texts_is_one_document(spark):
+    rows = [(5, "a b c d e f"), (5, "q r s t u v"), (7, "a b c d e f"), (3, "q r s t u v"), (9, "other")]
+    found = {r.doc_id: r.component_id for r in simhash.similar_documents(frame(spark, rows)).collect()}
+    assert found == {3: 3, 5: 3, 7: 3, 9: 9}
+
+
 PATHS = [(1024, 1 << 15), (1, 1000), (1, 1)]
 
 

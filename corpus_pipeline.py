@@ -16,8 +16,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-equal fingerprints, the document with the least doc_id stays."""
-    return simhash.first_of_each(docs, simhash.near_duplicates(docs))
+    """Of each component of texts whose sets of five-word shingles have a likeness of 0.8 or more, the document with the least doc_id stays."""
+    return simhash.first_of_each(docs, simhash.similar_documents(docs))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Quality classifier: histogram gradient-boosted trees over document statistics.
 
-Statistics of whole texts are taken in numpy inside tasks, once. At most ROWS labelled training rows, drawn by a hash of doc_id,
+Statistics of whole texts are taken in numpy inside tasks, once. About ROWS labelled training rows, drawn by a hash of doc_id and statistics,
 are gathered to grow the trees; each statistic is cut into BINS quantile bins and every split is chosen from gradient histograms. The trees are
 full binary trees of depth DEPTH, flattened into arrays, so scoring is DEPTH vectorised steps per tree for a whole batch."""
 
@@ -96,7 +96,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """doc_id and STATISTICS for every row."""
+    """doc_id and STATISTICS for every row; a null or empty text has zeros. Other columns are ignored; an empty table gives no rows."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text")).mapInArrow(_measure, "doc_id long, " + ", ".join(f"{x} float" for x in STATISTICS))
 
 
@@ -158,10 +158,12 @@ def grow(x: np.ndarray, y: np.ndarray) -> Trees:
 
 def fit(measured: DataFrame, labels: DataFrame) -> Trees:
     """Trees of labelled rows whose crc32 remainder isn't the held-out one. Labels by a null doc_id or of null quality are ignored;
-    of several labels of a doc_id the highest holds."""
+    of several labels of a doc_id the highest holds; rows that repeat a doc_id and its statistics count once."""
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).where("doc_id is not null and label is not null")
     own = own.where(crc_mod("doc_id", FOLDS) != HELD_OUT).groupBy("doc_id").agg((F.max("label") > 0).cast("int").alias("label"))
-    drawn = measured.join(own, "doc_id").orderBy(F.xxhash64("doc_id", F.lit("quality")), "doc_id", *STATISTICS).limit(ROWS)
+    labelled = materialise(measured.join(own, "doc_id").select("label", *STATISTICS, F.xxhash64("doc_id", *STATISTICS).alias("draw")).distinct(), "quality-labelled")
+    share = ROWS / max(labelled.count(), 1)
+    drawn = labelled.where(F.pmod("draw", F.lit(1 << 30)) < share * (1 << 30)).orderBy("draw", "label", *STATISTICS)
     rows = drawn.select("label", *STATISTICS).toPandas().to_numpy(float).reshape(-1, 1 + len(STATISTICS))
     return grow(rows[:, 1:], rows[:, 0])
 

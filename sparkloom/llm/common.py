@@ -36,6 +36,16 @@ def text_of(df: DataFrame, name: str = "text") -> Column:
     return F.coalesce(df[name].cast("string"), F.lit(""))
 
 
+def carried(docs: DataFrame) -> DataFrame:
+    """Every row of docs whole in `_doc`, which keeps its columns apart from any of ours, with `_id` (doc_id, null as NULL_ID) and `_th` (64-bit hash of the text)."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_id"), F.xxhash64(text_of(docs)).alias("_th"))
+
+
+def own_columns(docs: DataFrame, *but: str) -> list[Column]:
+    """The columns of docs out of `_doc`, without those named."""
+    return [F.col("_doc").getField(c).alias(c) for c in docs.columns if c not in but]
+
+
 def crc_mod(column: str, m: int) -> Column:
     """crc32 of the number as decimal text, modulo m; null ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % m

@@ -1,13 +1,14 @@
 """Benchmark decontamination by template canonicalisation.
 
-Words lose outer punctuation and case; numbers, units of measure and names (capitalised words) become typed placeholders; windows are also
+Words lose outer punctuation and case; numbers, units of measure and names (capitalised words, of any script with capitals) become typed placeholders; windows are also
 formed with names left as words, for texts that write everything in capitals. Windows of WIDTH canonical words of
 documents are hash-joined with those of the benchmark items, so a question with other parameters still meets its original. Matches are lined up by the
-distance between the window's place in the document and in the item: along one line, equal slot values of the item must stand for equal values in the document,
-or the line doesn't count. A document is contaminated by an item of whose windows it has COVER or more on consistent lines, or of which it has RUN canonical words
+distance between the window's place in the document and in the item. Along one line, slot values of the item and of the document must stand for each other, one to one and within
+their type; where they don't, the pairing that most windows of the line have holds, and windows with any other don't count.
+A document is contaminated by an item of whose windows it has COVER or more on consistent lines, or of which it has RUN canonical words
 in a row on one such line, whatever their share. Windows are also formed at the lengths of items shorter than WIDTH, which so are met inside longer documents.
 
-A filter of fixed size, FILTER bits set by the hashes of the benchmark's windows, keeps windows that can't match from leaving the scan; it has
+A filter of bits set by the hashes of the benchmark's windows, BITS to a window up to MOST_BITS in all, keeps most windows that can't match from leaving the scan; it has
 false positives only, and the join decides."""
 
 from __future__ import annotations
@@ -19,10 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import NULL_ID, SLICE_BYTES, Rolling, materialise, small, stretch_hashes, text_of, utf8, words_of
-from sparkloom.llm.toxicity import LOWER
+from sparkloom.llm.common import NULL_ID, SLICE_BYTES, Rolling, carried, materialise, own_columns, small, stretch_hashes, text_of, utf8, words_of
 
-WIDTH, COVER, RUN, FILTER = 5, 0.5, 13, 1 << 20
+WIDTH, COVER, RUN = 5, 0.5, 13
+#: Bits of the filter for every window of the benchmark, and of all together: 2 MB.
+BITS, MOST_BITS = 16, 1 << 24
 #: Words that are units of measure.
 UNITS = (
     "mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg lb lbs oz gram grams pound pounds ton tons ml l litre litres liter liters gallon gallons "
@@ -41,17 +43,46 @@ _UNIT_HASHES = _unit_hashes()
 _OUTER = np.isin(np.arange(256), np.frombuffer(b"!\"#'()*,./:;<=>?@[\\]^_`{|}~&-", np.uint8))
 
 
+def _of_basic_plane() -> tuple[np.ndarray, np.ndarray]:
+    """Each character's lower case, where that is one character of as many bytes, and whether it is a capital."""
+    size = lambda c: 1 if c < 0x80 else 2 if c < 0x800 else 3
+    lower, capital = np.arange(1 << 16), np.zeros(1 << 16, bool)
+    for c in (*range(0xD800), *range(0xE000, 1 << 16)):
+        x = chr(c).lower()
+        if len(x) == 1 and size(ord(x)) == size(c):
+            lower[c] = ord(x)
+        capital[c] = chr(c).isupper() or chr(c).istitle()
+    return lower, capital
+
+
+_LOWER, _CAPITAL = _of_basic_plane()
+
+
+def _characters(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Code points of the characters that start at these places of UTF-8; 0 beyond the basic plane."""
+    a, b, c = (data[np.minimum(at + i, len(data) - 1)].astype(np.int64) if len(data) else np.zeros(0, np.int64) for i in range(3))
+    two, three = (a & 31) << 6 | b & 63, (a & 15) << 12 | (b & 63) << 6 | c & 63
+    return np.select([a < 0x80, (a >= 0xC2) & (a < 0xE0), (a >= 0xE0) & (a < 0xF0)], [a, two, three], 0)
+
+
 def _lowered(data: np.ndarray) -> np.ndarray:
-    """A-Z and the capitals of Latin-1, as UTF-8, in lower case."""
-    out = LOWER[data]
-    capital = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
-    out[capital] += 32
+    """Capitals of the basic plane in lower case, in place."""
+    out = data.copy()
+    starts = np.flatnonzero(((data >= 65) & (data <= 90)) | ((data >= 0xC2) & (data < 0xF0)))
+    was = _characters(data, starts)
+    now = _LOWER[was]
+    changed = now != was
+    at, now = starts[changed], now[changed]
+    one, two, three = now < 0x80, (now >= 0x80) & (now < 0x800), now >= 0x800
+    out[at[one]] = now[one]
+    out[at[two]], out[at[two] + 1] = 0xC0 | now[two] >> 6, 0x80 | now[two] & 63
+    out[at[three]], out[at[three] + 1], out[at[three] + 2] = 0xE0 | now[three] >> 12, 0x80 | now[three] >> 6 & 63, 0x80 | now[three] & 63
     return out
 
 
 def canonical(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     """Hashes of each canonical word without and with names as slots, whether it is a slot either way, its bytes' start and end, and the
-    first of each row (one more).
+    first of each row (one more). The hash of a slot is its type.
 
     What a word becomes depends on the word alone, wherever it stands; words of punctuation only are left out."""
     begins, ends, edges = words_of(data, at)
@@ -66,9 +97,7 @@ def canonical(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     numeric = np.concatenate([[0], np.cumsum(((data >= 48) & (data <= 57)) | np.isin(data, np.frombuffer(b".,+-/:%$", np.uint8)))])
     hashes = stretch_hashes(_lowered(data), begins, ends)
     is_number = (digit[ends] > digit[begins]) & (numeric[ends] - numeric[begins] == ends - begins)
-    first = data[begins] if len(begins) else data[:0]
-    follows = data[np.minimum(begins + 1, max(len(data) - 1, 0))] if len(begins) else data[:0]
-    is_name = ((first >= 65) & (first <= 90)) | ((first == 0xC3) & (follows >= 0x80) & (follows <= 0x9E))
+    is_name = _CAPITAL[_characters(data, begins)]
     is_unit = np.isin(hashes, _UNIT_HASHES)
     plain = np.select([is_number, is_unit], [NUMBER, UNIT], hashes)
     is_slot = is_number | is_unit
@@ -76,7 +105,7 @@ def canonical(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def template_windows(data: np.ndarray, at: np.ndarray, passes: np.ndarray | None, widths: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[list[str]]]:
-    """Row, place, width, hash and slot values of the windows that have a word of their own, of those that pass the filter. Without
+    """Row, place, width, hash and slot values (behind their type) of the windows that have a word of their own, of those that pass the filter. Without
     widths, a text of fewer than WIDTH words is one window; else it has the windows of each of the widths. A window with names comes twice, with names as slots and as words in lower case."""
     plain, named, slot, named_slot, begins, ends, edges = canonical(data, at)
     n = np.diff(edges)
@@ -97,8 +126,8 @@ def template_windows(data: np.ndarray, at: np.ndarray, passes: np.ndarray | None
         if some is not None:
             keep &= some
         if passes is not None:
-            keep &= passes[(key & np.uint64(FILTER - 1)).astype(np.int64)]
-        values = [[raw[begins[i] : ends[i]].decode("utf-8", "replace") for i in range(a, b) if is_slot[i]] for a, b in zip(first[keep].tolist(), last[keep].tolist())]
+            keep &= (passes[(key >> np.uint64(6) & np.uint64(len(passes) - 1)).astype(np.int64)] >> (key & np.uint64(63)) & np.uint64(1)).astype(bool)
+        values = [[f"{hashes[i]} {raw[begins[i] : ends[i]].decode('utf-8', 'replace')}" for i in range(a, b) if is_slot[i]] for a, b in zip(first[keep].tolist(), last[keep].tolist())]
         found.append((row[keep], (first - edges[row])[keep], (last - first)[keep], key[keep].view(np.int64), values))
     return (*(np.concatenate([x[i] for x in found]) for i in range(4)), found[0][4] + found[1][4])
 
@@ -117,6 +146,18 @@ def _emit(passes, widths: list[int] | None = None) -> Callable:
 _WINDOW = "id long, th long, place long, width long, key long, slots array<string>"
 
 
+def _filter(asked: DataFrame) -> np.ndarray:
+    """Bits set by the low bits of the keys, as 64-bit words: a power of two, MOST_BITS / 64 at most."""
+    size = 1 << 10
+    while size < min(MOST_BITS, BITS * asked.count()) // 64:
+        size *= 2
+    word = F.shiftright("key", 6).bitwiseAND(F.lit(size - 1)).alias("word")
+    rows = asked.select(word, F.expr("shiftleft(1L, cast(key & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    out = np.zeros(size, np.uint64)
+    out[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(id, th, items, cover) of the documents that an item contaminates: doc_id with null as NULL_ID, the text's 64-bit hash,
     the item_ids in order, and the highest share of such an item's windows.
@@ -125,9 +166,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("id"), F.xxhash64(text_of(benchmark)).alias("th"), text_of(benchmark).alias("text"))
     asked = materialise(items.distinct().mapInArrow(_emit(None), _WINDOW), "templates")
-    passes = np.zeros(FILTER, bool)
-    places = asked.select(F.col("key").bitwiseAND(F.lit(FILTER - 1)).alias("bit")).distinct().toPandas()["bit"]  # FILTER at most
-    passes[places.to_numpy(np.int64)] = True
+    passes = _filter(asked)
     short = [r["width"] for r in asked.where(F.col("width") < WIDTH).select("width").distinct().collect()]  # WIDTH - 1 at most
     text = text_of(docs)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
@@ -137,9 +176,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     of_item = of_item.withColumn("nth", F.dense_rank().over(Window.partitionBy("item_id", "item_th").orderBy("item_place")))
     met = materialise(found.join(of_item, "key").where("doc_width = width").withColumn("line", F.col("place") - F.col("item_place")), "matches")
     line = ["id", "th", "item_id", "item_th", "line"]
-    pairs = met.where(F.size("slots") > 0).select(*line, F.explode(F.arrays_zip("item_slots", "slots")).alias("z"))
-    torn = pairs.groupBy(*line, F.col("z.item_slots").alias("value")).agg(F.min("z.slots").alias("a"), F.max("z.slots").alias("b")).where("a <> b").select(*line).distinct()
-    lined = materialise(met.join(torn, line, "left_anti").select(*line, "item_place", "nth").distinct(), "lines")
+    # how often each value of an item stands against each of the document along a line; its best partner and it must choose each other
+    pairs = met.where(F.size("slots") > 0).select(*line, "item_place", "key", F.explode(F.arrays_zip(F.col("item_slots").alias("x"), F.col("slots").alias("y"))).alias("z")).select(*line, "item_place", "key", "z.*")
+    votes = pairs.groupBy(*line, "x", "y").agg(F.count("*").alias("votes"))
+    rank = lambda own, other: F.row_number().over(Window.partitionBy(*line, own).orderBy(F.desc("votes"), F.desc(F.col("x") == F.col("y")), other))
+    torn = votes.select(*line, "x", "y", (rank("x", "y") + rank("y", "x") > 2).alias("torn")).where("torn").drop("torn")
+    void = pairs.join(torn, [*line, "x", "y"]).select(*line, "item_place", "key").distinct()
+    lined = materialise(met.join(void, [*line, "item_place", "key"], "left_anti").select(*line, "item_place", "nth").distinct(), "lines")
     covered = lined.groupBy(*line[:-1]).agg(F.count_distinct("item_place").alias("n")).join(sizes, ["item_id", "item_th"])
     # windows of slots only are in no table, so neighbours are those with nothing between them there
     ahead = F.row_number().over(Window.partitionBy(*line).orderBy("nth"))
@@ -150,18 +193,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def flag(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Every row of docs with contaminated, items (an empty list for a clean one) and cover."""
-    found = contaminated(docs, benchmark)
-    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).withColumn("_th", F.xxhash64(text_of(docs)))
-    joined = keyed.join(found.withColumnsRenamed({"id": "_id", "th": "_th", "items": "_items", "cover": "_cover"}), ["_id", "_th"], "left")
-    return joined.select(*docs.columns, F.col("_items").isNotNull().alias("contaminated"), F.coalesce("_items", F.array().cast("array<bigint>")).alias("items"), F.coalesce("_cover", F.lit(0.0)).alias("cover"))
+    """Every row of docs with contaminated, items (an empty list for a clean one) and cover, which replace columns of those names.
+
+    Null and empty texts are clean, as is every text if the benchmark is empty. Rows that share a null doc_id are told apart by their text."""
+    found = contaminated(docs, benchmark).withColumnsRenamed({"id": "_id", "th": "_th"})
+    joined = carried(docs).join(found, ["_id", "_th"], "left")
+    own = own_columns(docs, "contaminated", "items", "cover")
+    return joined.select(*own, F.col("items").isNotNull().alias("contaminated"), F.coalesce("items", F.array().cast("array<bigint>")).alias("items"), F.coalesce("cover", F.lit(0.0)).alias("cover"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that no item contaminates."""
+    """The rows of docs that no item contaminates, all their columns as they are; null and empty texts stay."""
     found = contaminated(docs, benchmark).select(F.col("id").alias("_id"), F.col("th").alias("_th"))
-    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).withColumn("_th", F.xxhash64(text_of(docs)))
-    return keyed.join(found, ["_id", "_th"], "left_anti").select(*docs.columns)
+    return carried(docs).join(found, ["_id", "_th"], "left_anti").select(*own_columns(docs))
 
 
 def op7_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

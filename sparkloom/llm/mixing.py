@@ -1,6 +1,6 @@
 """Mixing sources to target weights by soft membership, in DataFrame functions alone.
 
-A naive Bayes classifier, counted on at most SAMPLE rows of the labelled table, gives every document posteriors over DOMAINS from binned statistics of its
+A naive Bayes classifier, counted on about SAMPLE rows of the labelled table, gives every document posteriors over DOMAINS from binned statistics of its
 text and from which of the WORDS most telling words it has. Then nonnegative rates are fitted, one a document: the
 expected tokens of each domain, tokens times posterior times rate summed over all documents, are to equal the targets. Each step of projected
 gradient descent is one aggregate over the documents, of which the driver gets a few numbers per domain; the step is scaled by the inverse Gram matrix of the
@@ -14,13 +14,17 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import NULL_ID, materialise, text_of
+from sparkloom.llm.common import NULL_ID, carried, materialise, own_columns, text_of
 
 DOMAINS = ("good", "poor", "toxic")
 TARGETS = {"good": 0.90, "poor": 0.07, "toxic": 0.03}
-#: Labelled rows that the classifier counts, at most; drawn by a hash of doc_id.
+#: Labelled documents that the classifier counts, about; drawn by a hash of doc_id.
 SAMPLE = 20_000
-WORDS, BINS, ROUNDS, CLOSE = 128, 16, 40, 1e-6
+#: Words that the classifier asks for.
+WORDS = 128
+BINS, ROUNDS, CLOSE = 16, 40, 1e-6
+#: Steps after which the rates are written down, so that no step repeats more than these.
+KEPT = 4
 STATISTICS = ("length", "word_length", "signs", "capitals")
 
 
@@ -51,8 +55,9 @@ def _classifier(docs: DataFrame, labels: DataFrame) -> list[Column]:
     """Log posterior of each domain, up to a shared term, as columns over `_described`."""
     own = labels.where("doc_id is not null and quality is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "toxic")
     own = own.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("quality").alias("quality")).select("doc_id", _domain().alias("domain"))
-    drawn = own.orderBy(F.xxhash64("doc_id", F.lit("mixing")), "doc_id").limit(SAMPLE)
-    drawn = F.broadcast(drawn)  # SAMPLE rows of two numbers
+    share = SAMPLE / max(own.count(), 1)
+    drawn = own.where(F.pmod(F.xxhash64("doc_id", F.lit("mixing")), F.lit(1 << 30)) < share * (1 << 30))
+    drawn = F.broadcast(drawn)  # about SAMPLE rows of two numbers
     of_drawn = _described(docs.where(F.col("doc_id").isNotNull()).join(drawn.select("doc_id"), "doc_id", "left_semi"))
     rows = materialise(of_drawn.join(drawn, "doc_id"), "mixing-rows")
     k = len(DOMAINS)
@@ -95,26 +100,32 @@ def soft_membership(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.select("doc_id", "th", "tokens", *[(F.col(f"e{i}") / total).alias(f"p_{d}") for i, d in enumerate(DOMAINS)])
 
 
-def fit_rates(soft: DataFrame, targets: dict[str, float]) -> Column:
-    """The rate of each row of `soft`, as a column, for targets given as multiples of all tokens."""
+def with_rates(soft: DataFrame, targets: dict[str, float]) -> DataFrame:
+    """`soft` and the rate of each row, which replaces a column of that name, for targets given as multiples of all tokens."""
     p = [F.col(f"p_{d}") for d in DOMAINS]
     k = len(p)
     target = np.array([targets[d] for d in DOMAINS])
+    soft = soft.drop("rate")
     every = soft.agg(F.sum("tokens")).first()[0]
     if not every:
-        return F.lit(1.0)
+        return soft.withColumn("rate", F.lit(1.0))
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     rate, length = F.lit(float(target.sum())), 1.0
-    best: tuple[float, Column, np.ndarray] = (math.inf, rate, np.zeros(k))
+    now, best = soft, (math.inf, rate, np.zeros(k))
+    kept = 0
     for _ in range(ROUNDS):
         used = F.when(rate > 0, F.col("tokens")).otherwise(0.0)
-        got = soft.agg(*[F.sum(F.col("tokens") * rate * x) for x in p], *[F.sum(used * p[i] * p[j]) for i, j in pairs]).first()
+        got = now.agg(*[F.sum(F.col("tokens") * rate * x) for x in p], *[F.sum(used * p[i] * p[j]) for i, j in pairs]).first()
         miss = np.array(got[:k]) / every - target
         off = float(np.abs(miss).max() / max(target.max(), 1e-12))
         if off < best[0]:
             gram = np.zeros((k, k))
             for (i, j), g in zip(pairs, got[k:]):
                 gram[i, j] = gram[j, i] = g / every
+            kept += 1
+            if kept % KEPT == 0:
+                now = materialise(now.select(*soft.columns, rate.alias("rate")), "rates")
+                rate = F.col("rate")
             best = (off, rate, np.linalg.inv(gram + 1e-9 * np.eye(k)) @ miss)
             length = min(1.0, 2 * length)
         else:  # too far, past the point where more rates became zero
@@ -122,7 +133,7 @@ def fit_rates(soft: DataFrame, targets: dict[str, float]) -> Column:
         if off < CLOSE or length < 1e-6:
             break
         rate = F.greatest(F.lit(0.0), best[1] - sum((x * float(s) for x, s in zip(p, length * best[2])), F.lit(0.0)))
-    return best[1]
+    return now.select(*soft.columns, best[1].alias("rate"))
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
@@ -130,17 +141,18 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS)
     tokens are the targets, in multiples of all tokens. Repeated rows get equal rates; a null doc_id makes no difference. Targets that no
     nonnegative rates can meet are met as closely as least squares allow. Other columns are ignored; an empty table gives no rows."""
     soft = materialise(soft_membership(docs, labels), "mixing")
-    return soft.withColumn("rate", fit_rates(soft, targets))
+    return with_rates(soft, targets)
 
 
 def mixed_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
-    """The rows of docs with rate and copy, as often as the rate says: its whole part, and once more for that share of documents,
-    drawn by a hash of doc_id and text. copy counts from 1; a row with no copy is left out."""
+    """The rows of docs with rate and copy, which replace columns of those names, as often as the rate says: its whole part, and once more for that share of documents,
+    drawn by a hash of doc_id and text. copy counts from 1; a row with no copy is left out. Null and empty texts have no tokens but a rate like any other; an
+    empty table gives no rows."""
     rated = mix(docs, labels, targets).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id"), F.col("th").alias("_th"), "rate").dropDuplicates(["_id", "_th"])
-    rows = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).withColumn("_th", F.xxhash64(text_of(docs)))
     draw = F.pmod(F.xxhash64("_id", "_th"), F.lit(1 << 30)) / float(1 << 30)
     times = (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("long")).cast("int")
-    return rows.join(rated, ["_id", "_th"]).withColumn("times", times).where("times > 0").select(*docs.columns, "rate", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy"))
+    rows = carried(docs).join(rated, ["_id", "_th"]).withColumn("_times", times).where("_times > 0")
+    return rows.select(*own_columns(docs, "rate", "copy"), "rate", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("copy"))
 
 
 def op5_source_mixing(spark, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import NULL_ID, small, stretch_hashes, text_of, utf8, words_of
+from sparkloom.llm.common import NULL_ID, carried, own_columns, small, stretch_hashes, utf8, words_of
 from sparkloom.llm.windows import Symbols, merged, repeated_windows
 
 WINDOW, PREFIX, STEP = 50, 10, 4
@@ -105,12 +105,13 @@ def dedup_windows(docs: DataFrame) -> DataFrame:
 
 def cut_documents(docs: DataFrame) -> DataFrame:
     """docs with the removed words cut out: the text of a document that loses words is its kept words joined by one space, and
-    n_chars, where docs has it, its new length. A document that loses all its words goes."""
+    n_chars, where docs has it, its new length. A document that loses all its words goes; null, empty and wordless texts stay as they are."""
     found = dedup_windows(docs).where("n_removed > 0").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id"), F.col("th").alias("_th"), "cut").dropDuplicates(["_id", "_th"])
-    rows = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).withColumn("_th", F.xxhash64(text_of(docs)))
-    text = F.coalesce("cut", F.col("text"))
-    new = {"text": text, "n_chars": F.when(F.col("cut").isNull(), F.col("n_chars")).otherwise(F.length("cut")).cast("long")} if "n_chars" in docs.columns else {"text": text}
-    return rows.join(found, ["_id", "_th"], "left").where("cut is null or cut <> ''").select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    new = {"text": F.coalesce("cut", F.col("_doc.text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("cut").isNull(), F.col("_doc.n_chars")).otherwise(F.length("cut")).cast(docs.schema["n_chars"].dataType)
+    own = [new[c].alias(c) if c in new else x for c, x in zip(docs.columns, own_columns(docs))]
+    return carried(docs).join(found, ["_id", "_th"], "left").where("cut is null or cut <> ''").select(*own)
 
 
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:

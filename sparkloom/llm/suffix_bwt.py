@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import small, utf8
-from sparkloom.llm.windows import Symbols, merged, repeated_windows
+from sparkloom.llm.windows import Symbols, merged, repeated_windows, runs_of
 
 WINDOW, GRAM, STEP, BLOCK = 200, 32, 43, 8
 #: Blocks that every window contains whole, wherever it starts.
@@ -77,8 +77,8 @@ def _words_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return view[at].astype(np.uint64)
 
 
-def compare(chunk: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of the stretches whose 200 bytes occur in the chunk more than once."""
+def compare(chunk: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows of the stretches whose 200 bytes occur in the chunk more than once."""
     n, p = chunk.column("n").to_numpy().astype(np.int64), chunk.column("p").to_numpy().astype(np.int64)
     at, data = utf8(chunk.column("bytes").combine_chunks())
     phase = p % BLOCK
@@ -118,7 +118,7 @@ def compare(chunk: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     twice = np.zeros(len(row), bool)
     twice[order[1:][same]] = True
     twice[order[:-1][same]] = True
-    return row[twice], start[twice]
+    return runs_of(row[twice], start[twice], WINDOW)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

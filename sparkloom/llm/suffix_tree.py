@@ -2,9 +2,10 @@
 
 A window of 50 words is removed if it also starts in a document with a smaller doc_id. Suffixes are split by prefixes of
 variable length (see windows.py): the ten words at a window's anchor or, where more than windows.CROWD suffixes share those, 47 words, or
-the whole 50 words. Prefix groups are packed into tasks up to windows.CHUNK bytes. There the top of the suffix tree of the group is grown
-by string depth: the nodes at depth 2h are the nodes at depth h split by the nodes that follow h words later. Suffixes that meet in one node at
-depth 50 share a repeat; the node's least doc_id decides which of them go."""
+the whole 50 words. Prefix groups are packed into tasks up to windows.CHUNK bytes. There the suffix trees of the groups stand as their suffixes in order with the
+common prefixes of neighbours: an internal node is a stretch of suffixes whose common prefixes are all as long as its string depth or longer. Each deep node, of 50 words or more, is a repeat;
+its least doc_id decides which of its suffixes go, over the whole depth of the deepest such node, and of those only the
+maximal ones are kept, which don't continue the suffix one word ahead."""
 
 from __future__ import annotations
 
@@ -35,38 +36,59 @@ def _joined_digest(text: bytes) -> bytes:
 WORDS = Symbols(WINDOW, PREFIX, STEP, word_symbols, _joined_digest)
 
 
-def nodes_at_depth(words: np.ndarray, left: np.ndarray, depth: int) -> np.ndarray:
-    """Number of the suffix tree's node at that string depth for each suffix; a suffix shorter than the depth ends in a leaf or node of its own length.
-
-    left: words from each suffix's start to the end of its text."""
-    node, h = np.unique(words, return_inverse=True)[1].astype(np.int64) + 1, 1
-    while h < depth:
-        step = min(h, depth - h)
-        follows = np.zeros(len(node), np.int64)
-        follows[:-step] = np.where(left[:-step] > step, node[step:], 0)
-        node = np.unique(node * (int(node.max(initial=0)) + 1) + follows, return_inverse=True)[1].astype(np.int64) + 1
-        h += step
-    return node
-
-
-def compare(chunk: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of the stretches that meet, in a node at depth WINDOW, a suffix of a smaller doc_id."""
+def sorted_suffixes(words: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes of texts in order, and the words that each shares with the one ahead, from prefix doubling.
+
+    words: numbers of the words of all texts. left: words from each suffix's start to the end of its text."""
+    rank, levels, h = np.unique(words, return_inverse=True)[1].astype(np.int64) + 1, [], 1
+    while len(words):
+        levels.append((h, rank))
+        if h >= left.max():
+            break
+        follows = np.zeros(len(rank), np.int64)
+        follows[:-h] = np.where(left[:-h] > h, rank[h:], 0)
+        rank = np.unique(rank * (int(rank.max()) + 1) + follows, return_inverse=True)[1].astype(np.int64) + 1
+        h *= 2
+    order = np.argsort(rank, kind="stable")
+    common, a, b = np.zeros(len(order), np.int64), order[:-1], order[1:]
+    if len(order):
+        most, shared = np.minimum(left[a], left[b]), np.zeros(len(a), np.int64)
+        for h, of_prefix in reversed(levels):
+            more = np.flatnonzero(shared < most)
+            same = more[of_prefix[a[more] + shared[more]] == of_prefix[b[more] + shared[more]]]
+            shared[same] += h
+        common[1:] = np.minimum(shared, most)
+    return order, common
+
+
+def deep_repeats(common: np.ndarray, kd: np.ndarray, depth: int) -> np.ndarray:
+    """String depth of the deepest internal node, of `depth` or more, in which each of the sorted suffixes meets a smaller kd; 0 without one."""
+    found = np.zeros(len(common), np.int64)
+    for d in np.unique(common[common >= depth]):
+        inside = common >= d
+        inside[:-1] |= inside[1:]  # the first suffix of a node shares its prefix with the next
+        at = np.flatnonzero(inside)
+        head = np.flatnonzero(common[at] < d)
+        least = np.repeat(np.minimum.reduceat(kd[at], head), np.diff(np.append(head, len(at))))
+        found[at[least < kd[at]]] = d
+    return found
+
+
+def compare(chunk: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The maximal repeats of the stretches that a smaller doc_id has, too."""
     n = chunk.column("n").to_numpy().astype(np.int64)
     size = n + WINDOW - 1
     ids: dict[bytes, int] = {}
     words = np.fromiter((ids.setdefault(w, len(ids)) for w in b" ".join(chunk.column("bytes").to_pylist()).split()), np.int64)
     edges = np.concatenate([[0], np.cumsum(size)])
-    left = np.repeat(edges[1:], size) - np.arange(edges[-1])
-    row = np.repeat(np.arange(len(n)), n)
-    start = np.arange(len(row)) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-    node = nodes_at_depth(words, left, WINDOW)[edges[row] + start]
-    kd = chunk.column("kd").to_numpy()[row]
-    order = np.lexsort((kd, node))
-    head = np.concatenate([[True], node[order][1:] != node[order][:-1]])
-    least = np.empty(len(row), np.int64)
-    least[order] = kd[order][np.flatnonzero(head)][np.cumsum(head) - 1] if len(row) else kd
-    gone = least < kd
-    return row[gone], start[gone]
+    row = np.repeat(np.arange(len(n)), size)
+    order, common = sorted_suffixes(words, edges[1:][row] - np.arange(len(words)))
+    length = np.zeros(len(words), np.int64)
+    length[order] = deep_repeats(common, chunk.column("kd").to_numpy()[row[order]], WINDOW)
+    ahead = np.zeros(len(words), np.int64)
+    ahead[1:] = np.where(row[1:] == row[:-1], length[:-1], 0)
+    at = np.flatnonzero((length > 0) & (length >= ahead))
+    return row[at], at - edges[row[at]], at - edges[row[at]] + length[at]
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -206,17 +206,20 @@ def _windows(spec: Symbols) -> Callable:
     return run
 
 
-def _by_group(compare: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], window: int) -> Callable:
+def runs_of(row: np.ndarray, start: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first symbol and end of each run of neighbouring windows, given by row and start in order."""
+    new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)])) if len(row) else np.zeros(0, np.int64)
+    last = start[np.concatenate([new[1:], [len(row)]]).astype(np.int64) - 1] if len(row) else start
+    return row[new], start[new], last + window
+
+
+def _by_group(compare: Callable[[pa.Table], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Callable:
     """Stretches sorted by key, in chunks that end with a key -> covered symbol intervals."""
 
     def covered(chunk: pa.Table) -> pa.RecordBatch:
-        row, start = compare(chunk)  # sorted by row and start
-        new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)])) if len(row) else np.zeros(0, np.int64)
-        first = start[new]
-        last = start[np.concatenate([new[1:], [len(row)]]).astype(np.int64) - 1] if len(row) else first
-        take, s = pa.array(row[new]), chunk.column("s").to_numpy()
-        at = s[row[new]]
-        return pa.RecordBatch.from_arrays([chunk.column("kd").combine_chunks().take(take), chunk.column("th").combine_chunks().take(take), pa.array(at + first), pa.array(at + last + window), chunk.column("kind").combine_chunks().take(take)], ["kd", "th", "a", "b", "kind"])
+        row, first, end = compare(chunk)
+        take, at = pa.array(row), chunk.column("s").to_numpy()[row]
+        return pa.RecordBatch.from_arrays([chunk.column("kd").combine_chunks().take(take), chunk.column("th").combine_chunks().take(take), pa.array(at + first), pa.array(at + end), chunk.column("kind").combine_chunks().take(take)], ["kd", "th", "a", "b", "kind"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -249,7 +252,7 @@ def repeated_windows(docs: DataFrame, spec: Symbols, compare: Callable, stretch_
     """The survey (doc_id, kd, th, n, whole; one row a document), the representatives (whole, kd, copies), and the
     texts of representatives with covered stretches (kd, th, text, spans of starts and size in symbols).
 
-    compare: gets a table of stretches of some anchors and returns the rows and relative starts of covered windows.
+    compare: gets a table of stretches of some anchors and returns rows, and starts and ends within them, of what is covered.
     stretch_goes, window_goes: SQL over kd, copies and least_kd that tells whether an equal stretch or window elsewhere covers one."""
     doc_id = F.col("doc_id").cast("long")
     text = text_of(docs)
@@ -274,7 +277,7 @@ def repeated_windows(docs: DataFrame, spec: Symbols, compare: Callable, stretch_
     sizes = parts.groupBy("key").agg(F.count("*").alias("stretches")).where("stretches > 1")
     few, many = (parts.join(sizes.where(f"stretches {sign} {LONG_CROWD}"), "key", "left_semi") for sign in ("<=", ">"))
     near = kinds.join(crowded, "key", "left_anti").select(*columns).unionByName(few.select(*columns)).repartition(F.col("key")).sortWithinPartitions("key")
-    near = near.mapInArrow(_by_group(compare, spec.window), "kd long, th long, a long, b long, kind binary")
+    near = near.mapInArrow(_by_group(compare), "kd long, th long, a long, b long, kind binary")
     windows = many.select("kd", "th", "s", "n", "bytes", "kind").mapInArrow(_windows(spec), "w1 long, w2 long, kd long, th long, s long, kind binary")
     counts = windows.groupBy("w1", "w2").agg(F.count("*").alias("copies"), F.min("kd").alias("least_kd")).where("copies > 1")
     far = windows.join(counts, ["w1", "w2"]).where(window_goes).select("kd", "th", F.col("s").alias("a"), (F.col("s") + spec.window).alias("b"), "kind")

@@ -168,12 +168,14 @@ def test_word_windows_against_brute_force(spark, monkeypatch, crowd, long):
 
 
 @pytest.mark.parametrize("crowd,long", PATHS)
-def test_repeats_inside_a_document_go_with_an_earlier_one(spark, monkeypatch, crowd, long):
+def test_repeats_inside_a_document_and_rows_of_one_doc_id(spark, monkeypatch, crowd, long):
     monkeypatch.setattr(windows, "CROWD", crowd)
     monkeypatch.setattr(windows, "LONG_CROWD", long)
     for seed in range(3):
         u, v, x, y, p = ([f"{c}{seed}w{i}" for i in range(60)] for c in "uvxyp")
+        q = [f"q{seed}w{i}" for i in range(150)]
         rows = [(1, u + p + v), (2, x + p + y + x + p + y), (3, x + p + y), (3, v + x + p + y + v)]
+        rows += [(4, u[:30] + q[30:110] + v[:30]), (5, x[:20] + q + y[:25] + q + v[:10]), (5, y + q), (2**63 - 1, q + q[40:] + x), (2**63 - 1, u + q)]
         least, expected = {}, []
         for i, w in rows:
             for k in range(len(w) - 49):
@@ -185,8 +187,8 @@ def test_repeats_inside_a_document_go_with_an_earlier_one(spark, monkeypatch, cr
                     gone[k : k + 50] = [True] * 50
             expected.append((i, sum(gone), hashlib.sha256(" ".join(a for a, g in zip(w, gone) if not g).encode()).hexdigest()))
         assert (2, 120) in [e[:2] for e in expected]
-        found = suffix_tree.dedup_windows(frame(spark, [(i, " ".join(w)) for i, w in rows])).collect()
-        assert sorted((r.doc_id, r.n_removed, r.kept_sha256) for r in found) == sorted(expected)
+        found = suffix_tree.dedup_windows(frame(spark, [(None if i == 2**63 - 1 else i, " ".join(w)) for i, w in rows])).collect()
+        assert sorted((2**63 - 1 if r.doc_id is None else r.doc_id, r.n_removed, r.kept_sha256) for r in found) == sorted(expected)
 
 
 @pytest.mark.parametrize("crowd,long", PATHS)
@@ -226,6 +228,23 @@ def test_cut_documents(spark):
     assert kept[315].text == dict(rows)[315]
 
 
+def test_deep_nodes_of_the_suffix_tree():
+    rng = np.random.default_rng(5)
+    texts = [list(rng.integers(0, 3, rng.integers(1, 14))) for _ in range(25)]
+    words, left = np.array([x for t in texts for x in t]), np.array([k for t in texts for k in range(len(t), 0, -1)])
+    suffixes = [(tuple(t[i:]), d) for d, t in enumerate(texts) for i in range(len(t))]
+    order, common = suffix_tree.sorted_suffixes(words, left)
+    assert [suffixes[i][0] for i in order] == sorted(s for s, _ in suffixes)
+    shared = lambda x, y: next((k for k, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
+    assert list(common[1:]) == [shared(suffixes[a][0], suffixes[b][0]) for a, b in zip(order, order[1:])]
+    kd = rng.integers(0, 6, len(texts))
+    of = np.array([kd[d] for _, d in suffixes])
+    found = suffix_tree.deep_repeats(common, of[order], 4)
+    for i, length in zip(order, found):
+        most = max((shared(suffixes[i][0], s) for (s, _), k in zip(suffixes, of) if k < of[i]), default=0)
+        assert length == (most if most >= 4 else 0)
+
+
 def test_merged_transforms_are_sorted_suffixes():
     rng = np.random.default_rng(1)
     texts = [list(rng.integers(1, 4, rng.integers(0, 12))) for _ in range(30)]

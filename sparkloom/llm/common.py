@@ -111,6 +111,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def bit_filter(keys: DataFrame, bits: int, most: int) -> np.ndarray:
+    """A filter of `key`, as 64-bit words: `bits` bits a row in a power of two, `most` bits at most, in which each key sets the bit that its low bits name."""
+    size = 1 << 10
+    while size < min(most, bits * keys.count()) // 64:
+        size *= 2
+    word = F.shiftright("key", 6).bitwiseAND(F.lit(size - 1)).alias("word")
+    rows = keys.select(word, F.expr("shiftleft(1L, cast(key & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    out = np.zeros(size, np.uint64)
+    out[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys (unsigned) have their bit set in the filter."""
+    return (bits[(keys >> np.uint64(6) & np.uint64(len(bits) - 1)).astype(np.int64)] >> (keys & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
 class Rolling:
     """Content hashes of any stretch of a symbol array, from one pass of prefix sums."""
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import NULL_ID, SLICE_BYTES, Rolling, carried, materialise, own_columns, small, stretch_hashes, text_of, utf8, words_of
+from sparkloom.llm.common import NULL_ID, SLICE_BYTES, Rolling, bit_filter, carried, materialise, own_columns, passes, small, stretch_hashes, text_of, utf8, words_of
 
 WIDTH, COVER, RUN = 5, 0.5, 13
 #: Bits of the filter for every window of the benchmark, and of all together: 2 MB.
@@ -104,7 +104,7 @@ def canonical(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     return plain, np.where(is_name & ~is_slot, NAME, plain), is_slot, is_slot | is_name, begins, ends, edges
 
 
-def template_windows(data: np.ndarray, at: np.ndarray, passes: np.ndarray | None, widths: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[list[str]]]:
+def template_windows(data: np.ndarray, at: np.ndarray, bits: np.ndarray | None, widths: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[list[str]]]:
     """Row, place, width, hash and slot values (behind their type) of the windows that have a word of their own, of those that pass the filter. Without
     widths, a text of fewer than WIDTH words is one window; else it has the windows of each of the widths. A window with names comes twice, with names as slots and as words in lower case."""
     plain, named, slot, named_slot, begins, ends, edges = canonical(data, at)
@@ -125,18 +125,18 @@ def template_windows(data: np.ndarray, at: np.ndarray, passes: np.ndarray | None
         keep = slots[last] - slots[first] < last - first
         if some is not None:
             keep &= some
-        if passes is not None:
-            keep &= (passes[(key >> np.uint64(6) & np.uint64(len(passes) - 1)).astype(np.int64)] >> (key & np.uint64(63)) & np.uint64(1)).astype(bool)
+        if bits is not None:
+            keep &= passes(bits, key)
         values = [[f"{hashes[i]} {raw[begins[i] : ends[i]].decode('utf-8', 'replace')}" for i in range(a, b) if is_slot[i]] for a, b in zip(first[keep].tolist(), last[keep].tolist())]
         found.append((row[keep], (first - edges[row])[keep], (last - first)[keep], key[keep].view(np.int64), values))
     return (*(np.concatenate([x[i] for x in found]) for i in range(4)), found[0][4] + found[1][4])
 
 
-def _emit(passes, widths: list[int] | None = None) -> Callable:
+def _emit(bits, widths: list[int] | None = None) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches, 2, SLICE_BYTES):
             at, data = utf8(batch.column(2))
-            row, place, width, key, values = template_windows(data, at, passes.value if passes else None, widths)
+            row, place, width, key, values = template_windows(data, at, bits.value if bits else None, widths)
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(place), pa.array(width), pa.array(key), pa.array(values, pa.list_(pa.string()))], ["id", "th", "place", "width", "key", "slots"])
 
@@ -146,18 +146,6 @@ def _emit(passes, widths: list[int] | None = None) -> Callable:
 _WINDOW = "id long, th long, place long, width long, key long, slots array<string>"
 
 
-def _filter(asked: DataFrame) -> np.ndarray:
-    """Bits set by the low bits of the keys, as 64-bit words: a power of two, MOST_BITS / 64 at most."""
-    size = 1 << 10
-    while size < min(MOST_BITS, BITS * asked.count()) // 64:
-        size *= 2
-    word = F.shiftright("key", 6).bitwiseAND(F.lit(size - 1)).alias("word")
-    rows = asked.select(word, F.expr("shiftleft(1L, cast(key & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
-    out = np.zeros(size, np.uint64)
-    out[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
-    return out
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(id, th, items, cover) of the documents that an item contaminates: doc_id with null as NULL_ID, the text's 64-bit hash,
     the item_ids in order, and the highest share of such an item's windows.
@@ -166,11 +154,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("id"), F.xxhash64(text_of(benchmark)).alias("th"), text_of(benchmark).alias("text"))
     asked = materialise(items.distinct().mapInArrow(_emit(None), _WINDOW), "templates")
-    passes = _filter(asked)
+    bits = bit_filter(asked, BITS, MOST_BITS)
     short = [r["width"] for r in asked.where(F.col("width") < WIDTH).select("width").distinct().collect()]  # WIDTH - 1 at most
     text = text_of(docs)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    found = rows.mapInArrow(_emit(spark.sparkContext.broadcast(passes), [WIDTH, *sorted(short)]), _WINDOW).withColumnRenamed("width", "doc_width")
+    found = rows.mapInArrow(_emit(spark.sparkContext.broadcast(bits), [WIDTH, *sorted(short)]), _WINDOW).withColumnRenamed("width", "doc_width")
     sizes = asked.groupBy(F.col("id").alias("item_id"), F.col("th").alias("item_th")).agg(F.count_distinct("place").alias("windows"))
     of_item = asked.select(F.col("id").alias("item_id"), F.col("th").alias("item_th"), F.col("place").alias("item_place"), "width", "key", F.col("slots").alias("item_slots"))
     of_item = of_item.withColumn("nth", F.dense_rank().over(Window.partitionBy("item_id", "item_th").orderBy("item_place")))

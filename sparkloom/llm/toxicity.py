@@ -1,13 +1,17 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two bigram models of lower-cased words, of toxic and of ordinary documents, are counted over all labelled training rows by Spark aggregates. Each
-discounts its bigrams and backs off to its own discounted word counts; both back off further to what the classes share: the pairs of a
-context in either class, and in how many different contexts a word was met in either class. So a rare expression is as likely under
-both, and only what was met often in one class tells them apart. Log-likelihood ratios are normalised by length, once over the
-whole text and once over each stretch of SEGMENT words, of which the HIGHEST highest count; a logistic curve, fitted on training rows that were left
-out of the counts, turns the two into a score.
+Two bigram models of lower-cased words, of toxic and of ordinary documents, are counted over all labelled training rows by Spark aggregates; every word and
+every pair counts, and the tables grow with the corpus. Absolute discounts set probability aside, at every level as much for either class, so that a class of
+fewer texts doesn't give rare expressions more. Pairs back off to their class's single words, these to what the classes share: in how many different contexts a word was met in
+either class. What was met fewer than RARE times in all is discounted whole: it has no entry and is as likely under both. So only what was met often in one class
+tells them apart. Pairs that say no more than their words (a log ratio nearer to theirs than CLOSE) are left to them.
 
-The model is bounded by VOCABULARY words, met RARE times at least, and BIGRAMS pairs, chosen by count; all other words share one entry, and other pairs back off."""
+The models are tables, which no task holds whole. Texts are read once into blocks of about BLOCK bytes: a block's different words, its pairs, and
+documents as numbers of its words. What a block asks for is joined with the tables and comes back to the block, where its documents are scored. A filter of
+MOST_BITS bits at most keeps most words and pairs without an entry from being asked for; it has false positives only, and the join decides.
+
+Log-likelihood ratios are normalised by length, once over the whole text and once over each stretch of SEGMENT words, of which the HIGHEST highest count; a logistic
+curve, fitted on about CURVE_ROWS training rows that were left out of the counts, turns the two into a score."""
 
 from __future__ import annotations
 
@@ -16,19 +20,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import crc_mod, materialise, small, stretch_hashes, text_of, utf8, words_of
+from sparkloom.llm.common import bit_filter, crc_mod, materialise, mix, passes, small, stretch_hashes, text_of, utf8, words_of
 
-VOCABULARY, BIGRAMS, SEGMENT, DISCOUNT = 1 << 16, 1 << 18, 2, 0.75
-#: Stretches of a text, those with the highest ratio, that make up the first of the two ratios.
-HIGHEST = 2
-#: Weight, in pairs, by which a context's pairs of both classes stand behind those of one.
-PULL = 1000.0
-#: Times that a word must be met to have its own entry.
-RARE = 5
-#: Rows by which the logistic curve is fitted, about; drawn by a hash of doc_id.
+SEGMENT, HIGHEST, DISCOUNT, RARE, CLOSE = 2, 2, 0.75, 5, 0.1
+BLOCK, BITS, MOST_BITS = 12_000_000, 16, 1 << 25
+#: Rows by which the logistic curve is fitted, about; drawn by a hash of doc_id and text.
 CURVE_ROWS = 20_000
 FOLDS, CURVE_FOLD, HELD_OUT = 5, 4, 0
 LOWER = np.arange(256, dtype=np.uint8)
@@ -43,123 +43,153 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return stretch_hashes(data, begins, ends), edges
 
 
-def _counted(keys: np.ndarray, toxic: np.ndarray, name: str) -> pa.RecordBatch:
-    unique, place = np.unique(keys, return_inverse=True)
-    both, bad = np.bincount(place, minlength=len(unique)), np.bincount(place, toxic, len(unique)).astype(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(unique.view(np.int64)), pa.array(both - bad), pa.array(bad)], [name, "c0", "c1"])
-
-
-def _labels(batch: pa.RecordBatch, edges: np.ndarray) -> np.ndarray:
-    return np.repeat(batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64), np.diff(edges))
-
-
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in small(batches, 0, 32_000_000):
-        hashes, edges = word_hashes(batch.column(0))
-        yield _counted(hashes, _labels(batch, edges), "w")
-
+def pair_keys(words: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Key of each word with the one before it in the row, and which words have one."""
+    ahead = np.concatenate([words[:1], words[:-1]])
+    has = np.ones(len(words), bool)
+    has[edges[:-1][edges[:-1] < len(words)]] = False
+    with np.errstate(over="ignore"):
+        return mix(ahead * np.uint64(0x9E3779B97F4A7C15) + mix(words)), has
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """text, toxic -> counts of words (a is null) and of pairs (key, a, b), in ordinary and toxic texts."""
+    for batch in small(batches, 0, BLOCK):
+        words, edges = word_hashes(batch.column(0))
+        toxic = np.repeat(batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64), np.diff(edges))
+        keys, has = pair_keys(words, edges)
+        ahead = np.concatenate([words[:1], words[:-1]])
+        for key, a, b, bad in ((words, None, words, toxic), (keys[has], ahead[has], words[has], toxic[has])):
+            key, first, place = np.unique(key, return_index=True, return_inverse=True)
+            both, bad = np.bincount(place, minlength=len(key)), np.bincount(place, bad, len(key)).astype(np.int64)
+            of_a = pa.nulls(len(key), pa.int64()) if a is None else pa.array(a[first].view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), of_a, pa.array(b[first].view(np.int64)), pa.array(both - bad), pa.array(bad)], ["key", "a", "b", "c0", "c1"])
+
+
+def _discounted(c: str) -> Column:
+    return F.when(F.col("c0") + F.col("c1") >= RARE, F.greatest(F.col(c) - DISCOUNT, F.lit(0.0))).otherwise(0.0)
+
+
+def model_entries(counts: DataFrame) -> DataFrame:
+    """The tables of both models in one: for a word (key, x and y: its probability under either class, z: the weight that it leaves, as a context, to single words),
+    for a pair that tells more than its words (key, x and y: what its own counts add, z null)."""
+    own = [_discounted(c).alias(d) for c, d in (("c0", "d0"), ("c1", "d1"))]
+    words = counts.where("a is null").select(F.col("b").alias("w"), "c0", "c1", *own)
+    pairs = counts.where("a is not null").select("key", "a", "b", "c0", "c1", *own)
+    contexts = pairs.groupBy(F.col("b").alias("w")).agg(F.count("*").alias("contexts"))
+    # a context leaves to single words what the class that knows less of it does
+    leads = pairs.groupBy(F.col("a").alias("w")).agg(*[F.sum(x).alias(f"sum_{x}") for x in ("c0", "c1", "d0", "d1")])
+    left = [F.when(F.col(f"sum_c{c}") > 0, 1 - F.col(f"sum_d{c}") / F.col(f"sum_c{c}")).otherwise(1.0) for c in (0, 1)]
+    leads = leads.select("w", "sum_d0", "sum_d1", F.greatest(*left).alias("z")).where("z < 1")
+    every = words.join(contexts, "w", "left").select("w", "c0", "c1", "d0", "d1", (F.coalesce("contexts", F.lit(0)) + 0.5).alias("contexts"))
+    every = materialise(every, "toxicity-words")
+    known = F.col("c0") + F.col("c1") >= RARE
+    s = every.agg(F.sum("contexts"), F.sum("d0"), F.sum("d1"), F.sum(F.when(known, F.lit(DISCOUNT)).otherwise(0.0)), F.sum(F.col("c0") + F.col("c1"))).first()
+    contexts, sum0, sum1, aside, every_word = (float(x or 0) for x in s)
+    back = aside / max(every_word, 1)
+    p = [(1 - back) * F.col(d) / max(total, 1e-9) + back * F.col("contexts") / max(contexts, 1) for d, total in (("d0", sum0), ("d1", sum1))]
+    single = every.where(known).select(F.col("w").alias("key"), p[0].alias("x"), p[1].alias("y"))
+    q = [(1 - F.col("z")) * F.col(f"d{c}") / F.col(f"sum_d{c}") for c in (0, 1)]
+    seen = pairs.where("d0 > 0 or d1 > 0").join(leads.withColumnRenamed("w", "a"), "a").select("key", "b", "z", q[0].alias("x"), q[1].alias("y"))
+    seen = seen.join(single.select(F.col("key").alias("b"), F.col("x").alias("p0"), F.col("y").alias("p1")), "b")
+    more = F.log((F.col("y") + F.col("z") * F.col("p1")) / (F.col("x") + F.col("z") * F.col("p0"))) - F.log(F.col("p1") / F.col("p0"))
+    telling = seen.where(F.abs(more) >= CLOSE).select("key", "x", "y", F.lit(None).cast("double").alias("z"))
+    of_words = single.join(leads.select(F.col("w").alias("key"), "z"), "key", "left").select("key", "x", "y", F.coalesce("z", F.lit(1.0)).alias("z"))
+    return of_words.unionByName(telling)
 
-def numbered(hashes: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
-    """Number of each word: its place in the sorted vocabulary from 1, or 0 for any other word."""
-    if not len(vocabulary):
-        return np.zeros(len(hashes), np.int64)
-    place = np.searchsorted(vocabulary, hashes).clip(0, len(vocabulary) - 1)
-    return np.where(vocabulary[place] == hashes, place + 1, 0)
 
+@dataclass
+class Model:
+    entries: DataFrame  # key, x, y, z, as model_entries has them
+    bits: np.ndarray  # the filter of the keys
+    curve: np.ndarray  # weights of the two ratios, and the offset
 
-def pairs_of(ids: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Key of each word with the one before it in the row; the second result tells which words have one and are both known."""
-    ahead = np.concatenate([[0], ids[:-1]]) if len(ids) else ids
-    ahead[edges[:-1][edges[:-1] < len(ids)]] = 0
-    return ahead * (VOCABULARY + 1) + ids, (ahead > 0) & (ids > 0)
 
+def _blocks(bits) -> Callable:
+    """doc_id, draw, text -> rows of documents (block, doc_id, draw, codes) and of blocks (block, words in order of codes, words and pairs that pass the filter)."""
 
-def _count_pairs(vocabulary) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches, 0, 32_000_000):
-            hashes, edges = word_hashes(batch.column(0))
-            keys, known = pairs_of(numbered(hashes, vocabulary.value), edges)
-            yield _counted(keys[known], _labels(batch, edges)[known], "pair")
+        block = TaskContext.get().partitionId() << 32
+        for batch in small(batches, 2, BLOCK):
+            block += 1
+            hashes, edges = word_hashes(batch.column(2))
+            words, place, times = np.unique(hashes, return_inverse=True, return_counts=True)
+            order = np.argsort(-times, kind="stable")  # frequent words have small numbers, which pack well
+            code = np.empty(len(order), np.uint32)
+            code[order] = np.arange(len(order), dtype=np.uint32)
+            codes = code[place].view(np.uint8).reshape(-1, 4)
+            packed = [codes[a:b].T.tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
+            keys, has = pair_keys(hashes, edges)
+            keys = np.concatenate([words, np.unique(keys[has])])
+            keys = keys[passes(bits.value, keys)]
+            n = batch.num_rows
+            lists = [pa.array([None] * n + [x.view(np.int64)], pa.list_(pa.int64())) for x in (words[order], keys)]
+            ids = [pa.concat_arrays([batch.column(i), pa.nulls(1, pa.int64())]) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n + 1, block)), *ids, pa.array([*packed, None], pa.binary()), *lists], ["block", "doc_id", "draw", "codes", "words", "asked"])
 
     return run
 
 
-@dataclass
-class Model:
-    vocabulary: np.ndarray  # sorted word hashes
-    word: np.ndarray  # log P(word) under [ordinary, toxic], by number
-    pair: np.ndarray  # sorted keys
-    seen: np.ndarray  # log P(word | word before) of those, under both
-    back: np.ndarray  # log of the weight that a context leaves to single words, by number
-    curve: np.ndarray  # weights of the two ratios, and the offset
-
-    def ratios(self, hashes: np.ndarray, edges: np.ndarray) -> np.ndarray:
-        """Rows of (mean log ratio of the highest stretches, mean log ratio of the text); zeros for a text without words."""
-        ids = numbered(hashes, self.vocabulary)
-        keys, known = pairs_of(ids, edges)
-        before = keys // (VOCABULARY + 1)
-        each = self.word[:, ids] + self.back[before]
-        if len(self.pair):
-            place = np.searchsorted(self.pair, keys).clip(0, len(self.pair) - 1)
-            hit = known & (self.pair[place] == keys)
-            each[:, hit] = self.seen[:, place[hit]]
-        ratio = each[1] - each[0]
-        n = np.diff(edges)
-        sums = np.concatenate([[0.0], np.cumsum(ratio)])
-        out = np.zeros((len(n), 2))
-        out[:, 1] = (sums[edges[1:]] - sums[edges[:-1]]) / np.maximum(n, 1)
-        parts = -(-n // SEGMENT)
-        row = np.repeat(np.arange(len(n)), parts)
-        first = edges[row] + SEGMENT * (np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts))
-        last = np.minimum(first + SEGMENT, edges[row + 1])
-        value = (sums[last] - sums[first]) / (last - first)
-        order = np.lexsort((-value, row))  # of every text the highest stretches first
-        rank = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
-        high = rank < HIGHEST
-        out[:, 0] = np.bincount(row[high], value[order][high], len(n)) / HIGHEST
-        return out.round(9)  # sums over a batch differ in their last bits by where a text stands in it
-
-    def score(self, ratios: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(ratios @ self.curve[:2] + self.curve[2], -35, 35)))
-
-
-def _estimate(words: np.ndarray, rest: np.ndarray, contexts: np.ndarray, pairs: np.ndarray, found: np.ndarray) -> Model:
-    """words: (hash, c0, c1) by hash; rest: counts of all other words; contexts: in how many contexts each number was met;
-    pairs: the kept (key, c0, c1) by key; found: times each number was a context.
-
-    Both classes give the same share to what lies behind: a class of fewer texts would else give rare words more."""
-
-    def discounted(counts: np.ndarray) -> np.ndarray:
-        return np.maximum(counts - DISCOUNT, 0)
-
-    counts = np.concatenate([[rest], words[:, 1:]]).T.astype(float)
-    shared = (contexts + 0.5) / (contexts + 0.5).sum()
-    pooled = counts.sum(0)
-    left = 1 - discounted(pooled).sum() / max(pooled.sum(), 1)
-    own = discounted(counts)
-    single = (1 - left) * own / np.maximum(own.sum(1, keepdims=True), 1) + left * shared
-    # what a class has of words outside the vocabulary is judged as one word, so being rare is no evidence
-    single[:, 0] = (counts[:, 0] + 1) / (counts.sum(1) + 2)
-    before, after = pairs[:, 0] // (VOCABULARY + 1), pairs[:, 0] % (VOCABULARY + 1)
-    every = discounted(pairs[:, 1:].sum(1).astype(float))
-    kept = np.bincount(before, every, len(contexts))
-    back = np.where(found > 0, np.clip(1 - kept / np.maximum(found, 1), 1e-6, 1), 1)
-    seen = np.empty((2, len(pairs)))
-    for c in (0, 1):
-        mine = discounted(pairs[:, 1 + c].astype(float))
-        of_context = np.bincount(before, mine, len(contexts))[before]
-        seen[c] = (mine + PULL * every / np.maximum(kept[before], 1e-9)) / (of_context + PULL)
-    seen = np.log((1 - back[before]) * seen + back[before] * single[:, after])
-    return Model(words[:, 0].astype(np.int64).view(np.uint64), np.log(single), pairs[:, 0], seen, np.log(back), np.array([1.0, 0.0, 0.0]))
-
-
-def _ratios(model) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches, 0):
-            r = model.value.ratios(*word_hashes(batch.column(0)))
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(r[:, 0]), pa.array(r[:, 1])], ["toxic", "top", "mean"])
-
-    return run
+def ratios_of(words: np.ndarray, edges: np.ndarray, keys: np.ndarray, entry: np.ndarray) -> np.ndarray:
+    """Rows of (mean log ratio of the highest stretches, mean log ratio of the text), 0 for a text without words. keys: sorted; entry: x, y and z of each."""
+    keys, entry = np.append(keys, np.uint64(2**64 - 1)), np.vstack([entry, [[0.0, 0.0, np.nan]]])
+
+    def looked_up(wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        place = np.searchsorted(keys, wanted).clip(0, len(keys) - 1)
+        return entry[place], keys[place] == wanted
+
+    single, known = looked_up(words)
+    single[~known] = 1.0  # as likely under both
+    pair, has = pair_keys(words, edges)
+    own, found = looked_up(pair)
+    own[~(found & has)] = 0.0
+    z = np.concatenate([[1.0], single[:-1, 2]])
+    z[~has] = 1.0
+    ratio = np.log((own[:, 1] + z * single[:, 1]) / (own[:, 0] + z * single[:, 0])) if len(words) else np.zeros(0)
+    n = np.diff(edges)
+    sums = np.concatenate([[0.0], np.cumsum(ratio)])
+    out = np.zeros((len(n), 2))
+    out[:, 1] = (sums[edges[1:]] - sums[edges[:-1]]) / np.maximum(n, 1)
+    parts = -(-n // SEGMENT)
+    row = np.repeat(np.arange(len(n)), parts)
+    first = edges[row] + SEGMENT * (np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts))
+    last = np.minimum(first + SEGMENT, edges[row + 1])
+    value = (sums[last] - sums[first]) / (last - first)
+    order = np.lexsort((-value, row))  # of every text the highest stretches first
+    high = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts) < HIGHEST
+    out[:, 0] = np.bincount(row[high], value[order][high], len(n)) / HIGHEST
+    return out.round(9)  # sums over a block differ in their last bits by where a text stands in it
+
+
+def _score_block(block: pa.Table, answers: pa.Table) -> pa.Table:
+    codes = block.column("codes").to_pylist()
+    words = next(x for x in block.column("words") if x.is_valid).values.to_numpy(zero_copy_only=False).view(np.uint64)
+    docs = [i for i, x in enumerate(codes) if x is not None]
+    own = [np.frombuffer(codes[i], np.uint8).reshape(4, -1).T for i in docs]
+    edges = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int64)
+    keys = answers.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    entry = np.stack([answers.column(c).to_numpy(zero_copy_only=False) for c in ("x", "y", "z")], 1).astype(float)[order]
+    r = np.zeros((len(docs), 2))
+    lo = 0
+    while lo < len(docs):  # a few megabytes of words at a time
+        hi = max(lo + 1, int(np.searchsorted(edges, edges[lo] + (1 << 19), "right")) - 1)
+        at = np.concatenate([*own[lo:hi], np.zeros((0, 4), np.uint8)])
+        r[lo:hi] = ratios_of(words[np.ascontiguousarray(at).view(np.uint32).ravel()], edges[lo : hi + 1] - edges[lo], keys[order], entry)
+        lo = hi
+    take = pa.array(docs, pa.int64())
+    return pa.table({"doc_id": block.column("doc_id").take(take), "draw": block.column("draw").take(take), "top": r[:, 0], "mean": r[:, 1]})
+
+
+def ratios(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, draw (64-bit hash of doc_id and text), and the two normalised log ratios, for every row."""
+    text = text_of(docs)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", text).alias("draw"), text.alias("text"))
+    blocks = rows.mapInArrow(_blocks(docs.sparkSession.sparkContext.broadcast(model.bits)), "block long, doc_id long, draw long, codes binary, words array<long>, asked array<long>")
+    blocks = materialise(blocks, "toxicity-blocks")
+    asked = blocks.where("words is not null").select("block", F.explode("asked").alias("key"))
+    answers = materialise(asked.join(model.entries, "key").select("block", "key", "x", "y", "z"), "toxicity-answers")
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score_block, "doc_id long, draw long, top double, mean double")
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -173,66 +203,33 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def _most_counted(rows: DataFrame, most: int) -> DataFrame:
-    """The rows (key, c0, c1) with the highest counts, `most` at most; rows of one step of a sixteenth of a power of two stay or go together."""
-    step = F.floor(F.log2(F.col("c0") + F.col("c1")) * 16).cast("int")
-    total, least = 0, 0
-    for r in sorted(rows.groupBy(step.alias("step")).count().collect(), reverse=True):  # 1024 steps at most
-        total += r["count"]
-        if total > most:
-            least = r["step"] + 1
-            break
-    return rows.where(step >= least)
-
-
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """The model of the labelled rows whose crc32 remainder isn't the held-out one. Labels by a null doc_id or of null toxic are
     ignored; of several labels of a doc_id the highest holds. Without any label, every score is 0.5."""
-    spark = docs.sparkSession
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     own = own.where("doc_id is not null and toxic is not null").withColumn("fold", crc_mod("doc_id", FOLDS)).where(F.col("fold") != HELD_OUT)
     own = own.groupBy("doc_id", "fold").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text")).where(crc_mod("doc_id", FOLDS) != HELD_OUT)
     # labels grow with the corpus, so the join is a shuffle of both sides at every size
-    rows = materialise(texts.join(own.hint("merge"), "doc_id").select("text", "toxic", "fold", F.xxhash64("doc_id").alias("draw")), "toxicity-rows")
-    counted = rows.where(F.col("fold") != CURVE_FOLD).select("text", "toxic")
-    every = materialise(counted.mapInArrow(_count_words, "w long, c0 long, c1 long").groupBy("w").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")), "toxicity-words")
-    top = _most_counted(every.where(F.col("c0") + F.col("c1") >= RARE), VOCABULARY).toPandas().to_numpy(np.int64).reshape(-1, 3)
-    top = top[np.argsort(top[:, 0].view(np.uint64))]
-    total = every.agg(F.coalesce(F.sum("c0"), F.lit(0)), F.coalesce(F.sum("c1"), F.lit(0))).first()
-    vocabulary = spark.sparkContext.broadcast(top[:, 0].copy().view(np.uint64))
-    pairs = counted.mapInArrow(_count_pairs(vocabulary), "pair long, c0 long, c1 long").groupBy("pair").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
-    pairs = materialise(pairs, "toxicity-pairs")
-    m = VOCABULARY + 1
-    size = len(top) + 1
-    contexts, found = np.zeros(size), np.zeros(size)
-    follows = pairs.groupBy((F.col("pair") % m).cast("long").alias("w")).agg(F.count("*").alias("n")).toPandas()  # at most VOCABULARY rows, like the next
-    contexts[follows["w"].to_numpy(np.int64)] = follows["n"]
-    leads = pairs.groupBy(F.floor(F.col("pair") / m).alias("w")).agg(F.sum(F.col("c0") + F.col("c1")).alias("n")).toPandas()
-    found[leads["w"].to_numpy(np.int64)] = leads["n"]
-    best = _most_counted(pairs.where("c0 + c1 > 1"), BIGRAMS).toPandas().to_numpy(np.int64).reshape(-1, 3)
-    model = _estimate(top, np.array(total) - top[:, 1:].sum(0), contexts, best[np.argsort(best[:, 0])], found)
+    rows = materialise(texts.join(own.hint("merge"), "doc_id"), "toxicity-rows")
+    counted = rows.where(F.col("fold") != CURVE_FOLD).select("text", "toxic").mapInArrow(_count, "key long, a long, b long, c0 long, c1 long")
+    counts = counted.groupBy("key", "a", "b").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+    entries = materialise(model_entries(materialise(counts, "toxicity-counts")), "toxicity-entries")
+    model = Model(entries, bit_filter(entries, BITS, MOST_BITS), np.zeros(3))
     curve = rows.where(F.col("fold") == CURVE_FOLD)
     share = CURVE_ROWS / max(curve.count(), 1)
-    drawn = curve.where(F.pmod("draw", F.lit(1 << 30)) < share * (1 << 30)).select("text", "toxic")
-    seen = drawn.mapInArrow(_ratios(spark.sparkContext.broadcast(model)), "toxic int, top double, mean double").toPandas().to_numpy(float).reshape(-1, 3)
+    drawn = curve.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < share * (1 << 30)).dropDuplicates(["doc_id", "text"])
+    found = ratios(drawn, model).join(own, "doc_id").orderBy("doc_id", "draw")
+    seen = found.select("toxic", "top", "mean").toPandas().to_numpy(float).reshape(-1, 3)
     model.curve = logistic(seen[:, 1:], seen[:, 0]) if len(seen) else np.zeros(3)
     return model
 
 
-def _scores(model) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches, 1):
-            ratios = model.value.ratios(*word_hashes(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.value.score(ratios)), pa.array(ratios[:, 0]), pa.array(ratios[:, 1])], ["doc_id", "score", "top", "mean"])
-
-    return run
-
-
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score, and the two normalised log ratios, for every row; null and wordless texts have ratios of 0. Other columns are ignored."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text")).mapInArrow(_scores(shared), "doc_id long, score double, top double, mean double")
+    """doc_id, score, and the two normalised log ratios, for every row; null and wordless texts have ratios of 0. Other columns are ignored; an empty table gives no rows."""
+    w = [F.lit(float(x)) for x in model.curve]
+    line = F.least(F.greatest(F.col("top") * w[0] + F.col("mean") * w[1] + w[2], F.lit(-35.0)), F.lit(35.0))
+    return ratios(docs, model).select("doc_id", (1 / (1 + F.exp(-line))).alias("score"), "top", "mean")
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:

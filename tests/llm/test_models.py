@@ -53,13 +53,60 @@ def test_toxicity_without_labels(data):
     assert toxicity.score_toxicity(docs.limit(0), toxicity.fit(docs.limit(0), labels)).count() == 0
 
 
-def test_rare_words_tell_nothing():
-    words = np.array([[10, 900, 90], [20, 3, 40], [30, 5, 0]])
-    m = toxicity._estimate(words, np.array([100, 10]), np.array([5.0, 9, 4, 2]), np.zeros((0, 3), np.int64), np.zeros(4))
-    ratio = m.word[1] - m.word[0]
-    assert abs(ratio[0]) < 0.3 and ratio[2] > 3 and ratio[2] > ratio[1] > ratio[3]
-    r = m.ratios(np.array([20, 20, 10, 10, 10], np.uint64), np.array([0, 0, 2, 5]))
-    assert (r[0] == 0).all() and r[1, 1] > 3 and r[2, 1] < 0.3
+def kneser_ney(rows):
+    """Log ratios of a word after another (None at the start), in plain dictionaries. rows: (words, toxic)."""
+    words, pairs = {}, {}
+    for w, toxic in rows:
+        for i, x in enumerate(w):
+            words.setdefault(x, [0, 0])[toxic] += 1
+            if i:
+                pairs.setdefault((w[i - 1], x), [0, 0])[toxic] += 1
+    own = lambda c: [max(x - toxicity.DISCOUNT, 0) if sum(c) >= toxicity.RARE else 0 for x in c]
+    contexts = {w: 0.5 + sum(b == w for _, b in pairs) for w in words}
+    total = [sum(own(c)[k] for c in words.values()) for k in (0, 1)]
+    back = toxicity.DISCOUNT * sum(sum(c) >= toxicity.RARE for c in words.values()) / sum(map(sum, words.values()))
+    p = {w: [(1 - back) * own(c)[k] / max(total[k], 1e-9) + back * contexts[w] / sum(contexts.values()) for k in (0, 1)] for w, c in words.items() if sum(c) >= toxicity.RARE}
+    left, kept = {}, {}
+    for a in words:
+        mine = [c for (x, _), c in pairs.items() if x == a]
+        kept[a] = [sum(own(c)[k] for c in mine) for k in (0, 1)]
+        left[a] = max(1 - kept[a][k] / sum(c[k] for c in mine) if sum(c[k] for c in mine) else 1 for k in (0, 1))
+
+    def ratio(a, b):
+        if b not in p:
+            return 0.0
+        z = left.get(a, 1) if a is not None else 1
+        alone = np.log(p[b][1] / p[b][0])
+        if z == 1 or (a, b) not in pairs:
+            return alone
+        both = np.log(np.divide(*[(1 - z) * own(pairs[a, b])[k] / kept[a][k] + z * p[b][k] for k in (1, 0)]))
+        return both if abs(both - alone) >= toxicity.CLOSE else alone
+
+    return ratio
+
+
+def test_ratios_against_plain_kneser_ney(spark, monkeypatch):
+    rng, docs, labels = random.Random(6), [], []
+    for i in range(160):
+        bad = i % 4 == 0
+        words = [rng.choice("the a of to and in bad is foul it was not".split()[: 12 if bad else 9]) if rng.random() < 0.8 else f"w{rng.randrange(60)}" for _ in range(rng.choice([1, 2, 7, 30, 90]))]
+        docs.append((i, " ".join(words) if i % 9 else " ".join(words).upper()))
+        labels.append((i, int(bad)))
+    docs += [(500, None), (501, ""), (502, " "), (None, docs[3][1]), (503, "unseen words only"), (504, docs[8][1] + " " + "the bad " * 40_000)]
+    frame, own = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(frame, own)
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    ratio = kneser_ney([(t.lower().split(), bad) for (i, t), (_, bad) in zip(docs, labels) if fold(i) not in (0, 4)])
+    expected = []
+    for i, t in docs:
+        w = (t or "").lower().split()
+        each = [ratio(a, b) for a, b in zip([None, *w], w)]
+        parts = sorted((np.mean(each[k : k + 2]) for k in range(0, len(w), 2)), reverse=True)
+        expected.append((i or -1, sum(parts[:2]) / 2, np.mean(each) if w else 0.0))
+    for block in (toxicity.BLOCK, 2000):
+        monkeypatch.setattr(toxicity, "BLOCK", block)
+        found = sorted((r.doc_id or -1, r.top, r.mean) for r in toxicity.score_toxicity(frame.coalesce(1), model).collect())
+        assert np.allclose(found, sorted(expected), atol=1e-6)
 
 
 def test_language_on_held_out_rows(data):

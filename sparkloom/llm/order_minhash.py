@@ -1,6 +1,7 @@
 """Document fingerprints by order MinHash, in DataFrame functions alone.
 
-A text is a list of tokens, each up to 16 characters without white space, and its k-mers are pairs of neighbouring tokens. The
+A text is a list of tokens, and its k-mers are pairs of neighbouring tokens. A token is a word of up to LONG characters; a longer run without white space, as of scripts
+that don't part words, has a token of PART characters from each of its places on, so that one character more or less changes few of them. The
 j-th occurrence of a k-mer counts as an element of its own. One hash deals the elements into BINS bins; a bin keeps the two elements
 with the least hash, puts them in the order in which they stand in the text, and hashes that pair. So a
 signature agrees only where the same rare elements come in the same order, which follows edit distance rather than the set of words alone.
@@ -17,9 +18,12 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.common import NULL_ID, text_of
 
-BINS, TOKEN = 32, r"[^\x20\x09-\x0D]{1,16}"
-#: Bits of the position in a packed element: texts of up to 2**26 k-mers.
-PLACE = 26
+BINS, LONG, PART = 32, 16, 8
+_BLANK, _SIGN = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
+#: A short word whole or, in longer runs, each character with those that follow it.
+_PIECE = rf"(?<!{_SIGN})({_SIGN}{{1,{LONG}}})(?!{_SIGN})|(?=({_SIGN}{{{PART}}})){_SIGN}"
+#: Bits of the position in a packed element; an array has no place that needs more.
+PLACE = 31
 BIN_BITS = BINS.bit_length() - 1
 HASH = 63 - PLACE
 #: Documents of a range of doc_id within which next documents are found, and such ranges at most.
@@ -44,11 +48,13 @@ def _run_places(starts: str, size: Column) -> Column:
 
 
 def with_signature(df: DataFrame, text: str, name: str) -> DataFrame:
-    """df and `name`: an array of BINS longs, null where the text has no element in the bin."""
+    """df and `name`: an array of BINS longs, null where the text has no element in the bin; all of them for an empty text, which null is, too.
+
+    Columns of df named _t, _k, _s, _o or _m are replaced on the way and mustn't be there."""
     place = (1 << PLACE) - 1
     other = [c for c in df.columns]
-    t = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
-    df = df.select(*other, t.alias("_t"))
+    parted = F.when(F.col(text).rlike(rf"{_SIGN}{{{LONG + 1}}}"), F.regexp_replace(text, _PIECE, "$1$2 ")).otherwise(F.col(text))
+    df = df.select(*other, F.filter(F.split(parted, rf"{_BLANK}+"), lambda x: x != "").alias("_t"))
     kmers = F.when(F.size("_t") < 2, F.transform("_t", lambda x: F.xxhash64(x))).otherwise(F.zip_with(_slice(F.col("_t"), 1, 1), _slice(F.col("_t"), 2, 1), lambda x, y: F.xxhash64(x, y)))
     df = df.select(*other, F.sort_array(F.transform(kmers, lambda h, i: F.shiftleft(h.bitwiseAND(F.lit((1 << HASH) - 1)), PLACE).bitwiseOR(i.cast("long")))).alias("_k"))
     df = df.select(*other, "_k", _run_starts("_k", PLACE).alias("_s"))
@@ -125,11 +131,11 @@ def fingerprint_with_next(docs: DataFrame) -> DataFrame:
     doc_id = F.col("doc_id").cast("long")
     rows = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(NULL_ID)).alias("key"), text_of(docs).alias("text"))
     cuts, least = _ranges(rows.select("key"))
-    signed = with_signature(rows, "text", "signature")
-    own = F.struct(_range_of(cuts).alias("range"), F.lit(False).alias("guest"))
+    signed = with_signature(rows.withColumn("own", _range_of(cuts)), "text", "signature")
+    own = F.struct(F.col("own").alias("range"), F.lit(False).alias("guest"))
     # the guest of a range is the least document of the next one; the last range has the first of all documents
-    is_cut = F.array_contains(F.array(*[F.lit(c).cast("long") for c in cuts]), F.col("key")) if len(cuts) else F.lit(False)
-    below = F.when(is_cut, F.struct((_range_of(cuts) - 1).alias("range"), F.lit(True).alias("guest"))).when(F.col("key") == F.lit(least).cast("long"), F.struct(F.lit(len(cuts)).alias("range"), F.lit(True).alias("guest")))
+    is_cut = F.get(F.array(F.lit(None), *[F.lit(c) for c in cuts]).cast("array<bigint>"), F.col("own")) == F.col("key")
+    below = F.when(is_cut, F.struct((F.col("own") - 1).alias("range"), F.lit(True).alias("guest"))).when(F.col("key") == F.lit(least).cast("long"), F.struct(F.lit(len(cuts)).alias("range"), F.lit(True).alias("guest")))
     dealt = signed.select("*", F.explode(F.filter(F.array(own, below), lambda x: x.isNotNull())).alias("at")).select("*", "at.range", "at.guest")
     order = Window.partitionBy("range").orderBy("guest", "key", "text")
     pairs = dealt.select("doc_id", "text", "signature", "guest", F.length("text").cast("long").alias("n_chars"), F.lead("text").over(order).alias("next_text"), F.lead("signature").over(order).alias("next_signature")).where(~F.col("guest"))

@@ -1,8 +1,11 @@
 import hashlib
 import random
+import re
+import struct
 
 import duckdb
 import pytest
+import xxhash
 from hypothesis import given
 from hypothesis import strategies as hs
 
@@ -54,6 +57,54 @@ def test_examples_and_digests(spark):
 DOCS = "doc_id long, text string, n_chars int, key string, range int"
 
 
+def chained(*values):
+    """xxhash64 over several values: strings and longs."""
+    h = 42
+    for v in values:
+        h = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else struct.pack("<q", v), h)
+    return h - 2**64 if h >= 2**63 else h
+
+
+def plain_signature(text):
+    """Order MinHash, step by step."""
+    tokens = []
+    for w in re.findall(r"[^\x20\x09-\x0D]+", text or ""):
+        tokens += [w] if len(w) <= 16 else [w[i : i + 8] for i in range(len(w) - 7)] + [w[-7:]]
+    kmers = [chained(x, y) for x, y in zip(tokens, tokens[1:])] if len(tokens) > 1 else [chained(x) for x in tokens]
+    mask, seen, bins = 2**order_minhash.HASH - 1, {}, {}
+    for i, k in enumerate(kmers):
+        seen[k & mask] = seen.get(k & mask, -1) + 1
+        h = occurrence_hash(k & mask, seen[k & mask]) & mask
+        bins.setdefault(h >> (order_minhash.HASH - order_minhash.BIN_BITS), []).append((h, i))
+    out = []
+    for b in range(order_minhash.BINS):
+        two = sorted(sorted(bins.get(b, []))[:2], key=lambda x: x[1])
+        out.append(chained(*[h for h, _ in two]) & 0xFFFFFFFF if two else None)
+    return out
+
+
+def occurrence_hash(k, occurrence):
+    """xxhash64 of a long and an int."""
+    return xxhash.xxh64_intdigest(struct.pack("<i", occurrence), xxhash.xxh64_intdigest(struct.pack("<q", k), 42))
+
+
+def test_signatures_against_plain_ones(spark):
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcé🙂") for _ in range(n))
+    texts = ["", None, " ", "a", "a b", "a a a a a a", word(16), word(17), word(25), " ".join(word(rng.choice([2, 3, 16, 17, 40])) for _ in range(300)), "x" * 3000, " ".join(["to be or not"] * 200)]
+    found = order_minhash.with_signature(spark.createDataFrame(list(enumerate(t or "" for t in texts)), "i int, t string"), "t", "s").collect()
+    assert {r.i: list(r.s) for r in found} == {i: plain_signature(t) for i, t in enumerate(texts)}
+
+
+def test_an_insertion_leaves_most_of_an_unspaced_text(spark):
+    rng = random.Random(4)
+    text = "".join(rng.choice("abcdefghij語文字") for _ in range(6000))
+    rows = [(0, text), (1, "z" + text), (2, text[:3000] + "q" + text[3000:]), (3, "".join(rng.choice("abcdefghij語文字") for _ in range(6000)))]
+    s = {r.i: r.s for r in order_minhash.with_signature(spark.createDataFrame(rows, "i int, t string"), "t", "s").collect()}
+    same = lambda a, b: sum(x == y for x, y in zip(s[a], s[b]))
+    assert same(0, 1) > 24 and same(0, 2) > 24 and same(0, 3) < 4
+
+
 def test_order_minhash_edits_and_likeness(spark):
     rng = random.Random(2)
     make = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))

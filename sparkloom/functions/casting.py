@@ -13,8 +13,8 @@ from sparkloom.schema import LOGICAL, logical_of, need
 
 WIDENING = {("boolean", "integer"), ("boolean", "floating"), ("integer", "floating"), ("date", "integer")}
 NARROWING = {("floating", "integer"): "the fraction", ("integer", "boolean"): "all but zero or not", ("floating", "boolean"): "all but zero or not", ("integer", "date"): "nothing within the calendar"}
-#: Integers up to this size are exact as floating.
-EXACT_INTEGER = 2**53
+#: Range of floating numbers that have an integer.
+LOWEST, ABOVE = -(2.0**63), 2.0**63
 #: Spellings of truth values, in lower case.
 TRUE, FALSE = ("true", "1", "yes"), ("false", "0", "no")
 ON_ERROR = ("refuse", "null", "skip")
@@ -38,12 +38,16 @@ def _converted(c: Column, source: str, target: str) -> Column:
     if source == "integer" and target == "date":
         return F.date_from_unix_date(c.cast("int"))
     if source == "floating" and target == "integer":
-        return F.when(c >= 0, F.floor(c)).otherwise(F.ceil(c)).cast("bigint")
+        whole = F.when(c >= 0, F.floor(c)).otherwise(F.ceil(c)).cast("bigint")
+        return F.when((c >= LOWEST) & (c < ABOVE), whole)  # NaN sorts as the largest number, so it is outside as well
+    if source == "integer" and target == "boolean":
+        return c != 0
     return c.cast(LOGICAL[target])
 
 
 def cast(df: DataFrame, name: str, target: str) -> DataFrame:
-    """df with the column in another type. Pairs that neither widen nor narrow, text among them, are refused; nulls stay."""
+    """df with the column in another type. Pairs that neither widen nor narrow, text among them, are refused; nulls stay. A floating number that no integer
+    can stand for (NaN, infinite, out of range) becomes null, which `loss` counts as changed."""
     source = logical_of(df, need(df, name))
     if target not in LOGICAL:
         raise ConfigError(f"no type {target!r}")
@@ -71,14 +75,17 @@ class Loss:
         return not self.changed
 
 
-def loss(df: DataFrame, name: str, target: str) -> Loss:
-    """One aggregate over the column and its way there and back."""
+def loss_counts(df: DataFrame, name: str, target: str) -> DataFrame:
+    """One row of rows, changed (values that don't come back when the cast is undone) and nulls; one aggregate over the column and its way there and back."""
     source = logical_of(df, need(df, name))
     cast(df, name, target)
     pair = df.select(F.col(name).alias("a"), (_converted(F.col(name), source, target) if source != target else F.col(name)).alias("b"))
     again = pair.select("a", (_converted(F.col("b"), target, source) if source != target else F.col("b")).alias("b"))
-    r = again.agg(F.count("*"), F.count_if(F.col("a") != F.col("b")), F.count_if(F.col("a").isNull())).first()
-    return Loss(*r)
+    return again.agg(F.count("*").alias("rows"), F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("changed"), F.count_if(F.col("a").isNull()).alias("nulls"))
+
+
+def loss(df: DataFrame, name: str, target: str) -> Loss:
+    return Loss(*loss_counts(df, name, target).first())
 
 
 def _parsed(c: Column, target: str) -> Column:
@@ -90,11 +97,11 @@ def _parsed(c: Column, target: str) -> Column:
         return F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("bigint"))
     if target == "floating":
         return text.try_cast("double")
-    return F.unix_date(text.try_cast("date")).cast("bigint")
+    return text.try_cast("date")
 
 
 def parse(df: DataFrame, name: str, target: str, on_error: str = "refuse") -> DataFrame:
-    """df with a text column read as integer, floating, boolean, or date in days. What can't be read, null included, is refused, made
+    """df with a text column read as integer, floating, boolean, or date. What can't be read, null included, is refused, made
     null or left out with its row."""
     if on_error not in ON_ERROR or target not in LOGICAL or target == "string":
         raise ConfigError(f"can't parse to {target!r} with {on_error!r}")

@@ -11,8 +11,6 @@ from sparkloom.errors import ConfigError, TypeMismatch
 from sparkloom.operators.sorting import SortKey, columns_of
 from sparkloom.schema import logical_of, need
 
-#: Values of a column from which a sketch is worth while.
-SKETCH_ABOVE = 100_000
 PRECISION = 12
 
 
@@ -41,6 +39,27 @@ def rows(df: DataFrame, names: Sequence[str] | None = None, order: Sequence[Sort
     return df.withColumn("_place", place).where("_place = 1").drop("_place")
 
 
+def account(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
+    """One row: rows, different (rows over the named columns) and share, the different part of all; 0 of an empty table."""
+    names = list(names or df.columns)
+    need(df, *names)
+    counts = df.groupBy(*names).agg(F.count("*").alias("_n"))
+    made = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"), F.count("*").alias("different"))
+    return made.select("rows", "different", F.coalesce(F.try_divide("different", "rows"), F.lit(0.0)).alias("share"))
+
+
+def sketches(df: DataFrame, name: str, within: Sequence[str], precision: int = PRECISION) -> DataFrame:
+    """A HyperLogLog sketch of a column's values for each group, to be kept and merged."""
+    need(df, name, *within)
+    return df.where(F.col(name).isNotNull()).groupBy(*within).agg(F.hll_sketch_agg(F.xxhash64(name), F.lit(precision)).alias("sketch"))
+
+
+def merged_count(kept: DataFrame, within: Sequence[str] = ()) -> DataFrame:
+    """Different values of all the sketches together, or of those of each group."""
+    made = F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n")
+    return kept.groupBy(*within).agg(made) if within else kept.agg(made)
+
+
 def count_values(df: DataFrame, name: str, exact: bool = True, precision: int = PRECISION) -> DataFrame:
     """One row: how many different values a column has without null, exactly or by a HyperLogLog sketch of 2**precision registers."""
     need(df, name)

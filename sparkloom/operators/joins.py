@@ -76,10 +76,18 @@ class Fanout:
         return self.pairs / self.left_rows if self.left_rows else 0.0
 
 
+def fanout_counts(left: DataFrame, right: DataFrame, left_keys: Sequence[str], right_keys: Sequence[str]) -> DataFrame:
+    """One row of left_rows, right_rows, matched_left and pairs of the inner join, and matched_keys of left_keys different ones of the left, by joining the counts of the keys."""
+    a = left.groupBy(*left_keys).agg(F.count("*").alias("_n")).withColumnsRenamed({k: f"_a{i}" for i, k in enumerate(left_keys)})
+    b = right.groupBy(*right_keys).agg(F.count("*").alias("_m")).withColumnsRenamed({k: f"_b{i}" for i, k in enumerate(right_keys)})
+    met = a.join(b, reduce(and_, [F.col(f"_a{i}") == F.col(f"_b{i}") for i in range(len(left_keys))]), "full")
+    both = F.col("_n").isNotNull() & F.col("_m").isNotNull()
+    known = reduce(and_, [F.col(f"_a{i}").isNotNull() for i in range(len(left_keys))])
+    sums = {"left_rows": F.sum("_n"), "right_rows": F.sum("_m"), "matched_left": F.sum(F.when(both, F.col("_n"))), "pairs": F.sum(F.col("_n") * F.col("_m")), "left_keys": F.count_if(known & F.col("_n").isNotNull()), "matched_keys": F.count_if(both)}
+    return met.agg(*[F.coalesce(x, F.lit(0)).alias(n) for n, x in sums.items()])
+
+
 def fanout(left: DataFrame, right: DataFrame, left_keys: Sequence[str], right_keys: Sequence[str]) -> Fanout:
-    """Sizes of the inner join, by joining the counts of the keys."""
-    a = left.groupBy(*left_keys).agg(F.count("*").alias("_n"))
-    b = right.groupBy(*right_keys).agg(F.count("*").alias("_m")).toDF(*[f"_k{i}" for i in range(len(right_keys))], "_m")
-    met = a.join(b, reduce(and_, [a[k] == b[f"_k{i}"] for i, k in enumerate(left_keys)]))
-    r = met.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.sum(F.col("_n") * F.col("_m")), F.lit(0))).first()
-    return Fanout(left.count(), right.count(), r[0], r[1])
+    """`fanout_counts` as numbers."""
+    r = fanout_counts(left, right, left_keys, right_keys).first()
+    return Fanout(*r[:4])

@@ -45,6 +45,14 @@ def compute(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
     return df.select("*", *[e.alias(n) for n, e in columns.items()])
 
 
+def replace(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """df with columns that take the place of those of their name or, if df has none, stand behind the others. Every expression sees df as it was."""
+    made = {n: columns[n].alias(n) for n in distinct_names(columns)}
+    for expr in made.values():
+        df.select(expr)
+    return df.select(*[made[c] if c in made else F.col(c) for c in df.columns], *[e for n, e in made.items() if n not in df.columns])
+
+
 def project(df: DataFrame, names: Sequence[str], columns: Mapping[str, Column]) -> DataFrame:
     """compute, then narrow."""
     return narrow(compute(df, columns), names)

@@ -32,7 +32,9 @@ class Window:
             raise ConfigError("the offset is 1 at least")
         if self.partition:
             need(df, *self.partition)
-        over = W.partitionBy(*self.partition).orderBy(*columns_of(df, self.order))
+        # without an order, rows are numbered as they come
+        order = [F.lit(0)] if self.function == "row_number" and not self.order else columns_of(df, self.order)
+        over = W.partitionBy(*self.partition).orderBy(*order)
         if self.function in ("row_number", "rank", "dense_rank"):
             return getattr(F, self.function)().over(over).cast("long")
         if self.source is None:

@@ -17,6 +17,7 @@ from sparkloom.plans import sql
 from sparkloom.schema import widened
 from sparkloom.session import new_path
 from sparkloom.sources import parquet
+from sparkloom.sources.catalogue import Catalogue
 from sparkloom.statistics import tables as statistics
 from sparkloom.streaming import pipeline
 
@@ -62,9 +63,9 @@ def scan_columns(spark, sf_dir):
     return parquet.scan(load(spark, sf_dir, "orders"), ["o_orderkey", "o_custkey", "o_totalprice"])
 
 
-@query("SELECT n_nationkey::BIGINT AS n_nationkey, n_regionkey::BIGINT AS n_regionkey FROM nation")
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
 def drop_columns(spark, sf_dir):
-    return rows.drop(load(spark, sf_dir, "nation"), ["n_name"])
+    return rows.drop(load(spark, sf_dir, "orders"), ["o_orderstatus", "o_orderdate", "o_orderpriority"])
 
 
 @query("SELECT s_suppkey AS id, s_name AS name, s_nationkey::BIGINT AS nation, s_acctbal FROM supplier")
@@ -79,6 +80,19 @@ def compute_columns(spark, sf_dir):
     return rows.project(t, ["l_orderkey", "l_linenumber", "scaled", "twice"], made)
 
 
+@query("SELECT o_orderkey, upper(o_orderpriority) AS o_orderpriority, o_orderkey % 10 AS digit, o_custkey FROM orders")
+def replace_columns(spark, sf_dir):
+    t = load(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_custkey")
+    return rows.replace(t, {"o_orderpriority": F.upper("o_orderpriority"), "digit": F.col("o_orderkey") % 10})
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_name >= 'Customer#000000500' AND c_name < 'Customer#000000900' AND c_mktsegment > 'C' OR c_mktsegment <= 'AUTOMOBILE'")
+def filter_text_order(spark, sf_dir):
+    t = load(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    named = all_of(compare(t, "c_name", ">=", "Customer#000000500"), compare(t, "c_name", "<", "Customer#000000900"), compare(t, "c_mktsegment", ">", "C"))
+    return rows.narrow(rows.keep(t, any_of(named, compare(t, "c_mktsegment", "<=", "AUTOMOBILE"))), ["c_custkey", "c_name"])
+
+
 @query("SELECT p_partkey, p_brand, p_size::BIGINT AS p_size FROM part WHERE p_size < 5 OR NOT (p_size <= 45) OR p_brand = 'Brand#11'")
 def filter_or_not(spark, sf_dir):
     t = load(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size")
@@ -115,11 +129,11 @@ def point_lookup(spark, sf_dir):
     return parquet.scan(t, ["o_orderkey", "o_totalprice"], compare(t, "o_orderkey", "=", 1001))
 
 
-@query("SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+@query("SELECT c_custkey, c_name, n FROM customer JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) o ON c_custkey = o_custkey")
 def side_by_side(spark, sf_dir):
-    n, r = load(spark, sf_dir, "nation"), load(spark, sf_dir, "region")
-    of_nation = joins.inner_join(n, r, ["n_regionkey"], ["r_regionkey"])
-    return rows.side_by_side(n.select("n_nationkey", "n_name"), of_nation.select("n_nationkey", "r_name"), ["n_nationkey"]).select("n_name", "r_name")
+    c, o = load(spark, sf_dir, "customer"), load(spark, sf_dir, "orders")
+    orders = aggregates.group(rows.rename(o, {"o_custkey": "c_custkey"}), ["c_custkey"], [Aggregate("n", "count_star")])
+    return rows.side_by_side(c.select("c_custkey", "c_name"), orders, ["c_custkey"])
 
 
 # joins
@@ -148,10 +162,10 @@ def inner_join_merge(spark, sf_dir):
     return _orders_of_customers(spark, sf_dir, "merge")
 
 
-@query("SELECT n.n_nationkey::BIGINT AS n_nationkey, n.n_name, r.r_name FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey")
+@query("SELECT s_suppkey, s_name, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 def inner_join_nested_loop(spark, sf_dir):
-    n, r = load(spark, sf_dir, "nation"), load(spark, sf_dir, "region")
-    return joins.inner_join(n, r, ["n_regionkey"], ["r_regionkey"], strategy="nested_loop").select("n_nationkey", "n_name", "r_name")
+    s, n = load(spark, sf_dir, "supplier"), load(spark, sf_dir, "nation")
+    return joins.inner_join(s, n, ["s_nationkey"], ["n_nationkey"], strategy="nested_loop").select("s_suppkey", "s_name", "n_name")
 
 
 @query(
@@ -210,8 +224,14 @@ def anti_join(spark, sf_dir):
 
 @query("SELECT (SELECT count(*) FROM orders) AS left_rows, (SELECT count(*) FROM lineitem) AS right_rows, count(DISTINCT o_orderkey) AS matched_left, count(*) AS pairs FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
 def join_fanout(spark, sf_dir):
-    f = joins.fanout(load(spark, sf_dir, "orders"), load(spark, sf_dir, "lineitem"), ["o_orderkey"], ["l_orderkey"])
-    return spark.createDataFrame([(f.left_rows, f.right_rows, f.matched_left, f.pairs)], "left_rows long, right_rows long, matched_left long, pairs long")
+    counts = joins.fanout_counts(load(spark, sf_dir, "orders"), load(spark, sf_dir, "lineitem"), ["o_orderkey"], ["l_orderkey"])
+    return counts.select("left_rows", "right_rows", "matched_left", "pairs")
+
+
+@query("SELECT (SELECT count(DISTINCT c_custkey) FROM customer) AS left_keys, count(DISTINCT c_custkey) AS matched_keys FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)")
+def key_coverage(spark, sf_dir):
+    o = load(spark, sf_dir, "orders")
+    return joins.fanout_counts(load(spark, sf_dir, "customer"), rows.keep(o, compare(o, "o_totalprice", ">", 200000.0)), ["c_custkey"], ["o_custkey"]).select("left_keys", "matched_keys")
 
 
 # aggregates
@@ -223,12 +243,11 @@ def join_fanout(spark, sf_dir):
 )
 def pricing_summary(spark, sf_dir):
     t = load(spark, sf_dir, "lineitem").where("l_shipdate <= timestamp_ntz'1998-09-02'")
-    t = _money(t, "l_extendedprice").withColumn("not_three", F.nullif("l_linenumber", F.lit(3)))
+    # cents add up the same in any order
+    t = t.withColumns({"not_three": F.nullif("l_linenumber", F.lit(3)), "cents": F.round(F.col("l_extendedprice") * 100).cast("bigint")})
     made = [Aggregate("sum_qty", "sum", "l_quantity"), Aggregate("avg_qty", "mean", "l_quantity"), Aggregate("n", "count_star"), Aggregate("n_not_three", "count", "not_three")]
-    made += [Aggregate("min_price", "min", "l_extendedprice"), Aggregate("max_price", "max", "l_extendedprice")]
-    both = aggregates.group(t, ["l_returnflag", "l_linestatus"], made)
-    price = t.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_extendedprice").alias("sum_price"))
-    return _doubles(both.join(price, ["l_returnflag", "l_linestatus"]))
+    made += [Aggregate("min_price", "min", "l_extendedprice"), Aggregate("max_price", "max", "l_extendedprice"), Aggregate("sum_price", "sum", "cents")]
+    return aggregates.group(t, ["l_returnflag", "l_linestatus"], made).withColumn("sum_price", F.col("sum_price") / 100)
 
 
 @query("SELECT count(*) AS n, count(nullif(o_orderkey % 4, 0)) AS some, min(o_orderpriority) AS first, max(o_orderpriority) AS last, sum(o_custkey)::BIGINT AS total FROM orders")
@@ -278,6 +297,21 @@ def distinct_values(spark, sf_dir):
     return distinct.values(t, "c_mktsegment", "sort")
 
 
+@query("SELECT DISTINCT nullif(l_linenumber, 3)::BIGINT AS n FROM lineitem")
+def distinct_values_hash(spark, sf_dir):
+    return distinct.values(load(spark, sf_dir, "lineitem").select(F.nullif("l_linenumber", F.lit(3)).alias("n")), "n")
+
+
+@query("SELECT DISTINCT p_type FROM part WHERE p_type <> 'none'")
+def distinct_values_dictionary(spark, sf_dir):
+    return distinct.values(load(spark, sf_dir, "part"), "p_type", "dictionary")
+
+
+@query("SELECT count(*) AS rows, count(DISTINCT (o_custkey, o_orderstatus)) AS different, count(DISTINCT (o_custkey, o_orderstatus)) / count(*) AS share FROM orders")
+def distinct_account(spark, sf_dir):
+    return distinct.account(load(spark, sf_dir, "orders"), ["o_custkey", "o_orderstatus"])
+
+
 @query("SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) WHERE k = 1")
 def distinct_rows_first(spark, sf_dir):
     t = load(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
@@ -289,9 +323,22 @@ def count_distinct(spark, sf_dir):
     return distinct.count_values(load(spark, sf_dir, "lineitem").select(F.nullif("l_suppkey", F.lit(7)).alias("k")), "k")
 
 
-@query()
+def _near(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """The exact count, and whether the sketch's (both n, one row each) is within a twentieth of it, three times its standard error."""
+    both = found.select(F.col("n").alias("f"), F.lit(1).alias("one")).join(exact.select("n", F.lit(1).alias("one")), "one")
+    return both.select("n", (F.abs(F.col("f") - F.col("n")) <= F.col("n") / 20).alias("near"))
+
+
+@query("SELECT count(DISTINCT l_partkey) AS n, true AS near FROM lineitem")
 def count_distinct_sketch(spark, sf_dir):
-    return distinct.count_values(load(spark, sf_dir, "lineitem"), "l_partkey", exact=False)
+    t = load(spark, sf_dir, "lineitem")
+    return _near(distinct.count_values(t, "l_partkey", exact=False), distinct.count_values(t, "l_partkey"))
+
+
+@query("SELECT count(DISTINCT l_partkey) AS n, true AS near FROM lineitem")
+def count_distinct_merged_sketches(spark, sf_dir):
+    t = load(spark, sf_dir, "lineitem")
+    return _near(distinct.merged_count(distinct.sketches(t, "l_partkey", ["l_returnflag", "l_linenumber"])), distinct.count_values(t, "l_partkey"))
 
 
 # windows
@@ -326,6 +373,12 @@ def window_lag_lead(spark, sf_dir):
     return _windowed(spark, sf_dir, Window("a", "lag", "v", ["o_custkey"], order), Window("b", "lead", "o_orderstatus", ["o_custkey"], order, 2))
 
 
+@query("SELECT o_custkey, max(k) AS last, count(DISTINCT k) AS different FROM (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey) AS k FROM orders) GROUP BY 1")
+def window_row_number_unordered(spark, sf_dir):
+    t = windows.apply(load(spark, sf_dir, "orders").select("o_custkey"), [Window("k", "row_number", None, ["o_custkey"])])
+    return t.groupBy("o_custkey").agg(F.max("k").alias("last"), F.count_distinct("k").alias("different"))
+
+
 # sorts and limits
 
 
@@ -381,6 +434,14 @@ def difference(spark, sf_dir):
     return sets.difference(*_two_sides(spark, sf_dir))
 
 
+@query(
+    f"WITH a AS ({_A}), b AS ({_B}), n AS (SELECT (SELECT count(*) FROM a) + (SELECT count(*) FROM b) AS rows, (SELECT count(*) FROM (FROM a UNION FROM b)) AS in_either, (SELECT count(*) FROM (FROM a INTERSECT FROM b)) AS in_both, "
+    "(SELECT count(*) FROM (FROM a EXCEPT FROM b)) AS in_left_only) SELECT *, rows - in_either AS duplicates, (rows - in_either) / rows AS share FROM n"
+)
+def set_account(spark, sf_dir):
+    return sets.account(*_two_sides(spark, sf_dir))
+
+
 @query("SELECT DISTINCT l_returnflag, l_linestatus, nullif(l_linenumber, 3)::BIGINT AS n FROM lineitem")
 def distinct_table(spark, sf_dir):
     return sets.distinct(load(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", F.nullif("l_linenumber", F.lit(3)).alias("n")))
@@ -407,8 +468,19 @@ def cast_widen(spark, sf_dir):
 
 @query("SELECT count(*) AS rows, count(*) FILTER (trunc(c_acctbal) <> c_acctbal) AS changed, 0::BIGINT AS nulls FROM customer")
 def cast_loss(spark, sf_dir):
-    x = casting.loss(load(spark, sf_dir, "customer"), "c_acctbal", "integer")
-    return spark.createDataFrame([(x.rows, x.changed, x.nulls)], "rows long, changed long, nulls long")
+    return casting.loss_counts(load(spark, sf_dir, "customer"), "c_acctbal", "integer")
+
+
+@query("SELECT l_orderkey, CASE WHEN l_linenumber <= 5 THEN trunc(l_quantity)::BIGINT END AS x FROM lineitem")
+def cast_out_of_range(spark, sf_dir):
+    odd = F.when(F.col("l_linenumber") == 6, F.lit(float("nan"))).when(F.col("l_linenumber") == 7, F.lit(1e30)).otherwise(F.col("l_quantity"))
+    return casting.cast(load(spark, sf_dir, "lineitem").select("l_orderkey", odd.alias("x")), "x", "integer")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate::DATE END AS d FROM orders")
+def parse_date(spark, sf_dir):
+    text = F.when(F.col("o_orderkey") % 5 == 0, F.lit("2021-02-30")).otherwise(F.date_format("o_orderdate", " yyyy-MM-dd"))
+    return casting.parse(load(spark, sf_dir, "orders").select("o_orderkey", text.alias("d")), "d", "date", "null")
 
 
 @query("SELECT c_custkey, TRY_CAST(c_name[10:] AS BIGINT) AS n FROM customer")
@@ -471,9 +543,39 @@ def histogram_equi_width(spark, sf_dir):
     return statistics.equi_width_buckets(load(spark, sf_dir, "part"), "p_size", 10)
 
 
-@query()
+@query("SELECT min(o_totalprice) AS low, max(o_totalprice) AS high, count(*) AS rows, 32::BIGINT AS buckets, true AS in_order, true AS even FROM orders")
 def histogram_equi_depth(spark, sf_dir):
-    return statistics.equi_depth_buckets(load(spark, sf_dir, "orders"), "o_totalprice")
+    made = statistics.equi_depth_buckets(load(spark, sf_dir, "orders"), "o_totalprice")
+    follows = F.coalesce(F.col("low") > F.col("before"), F.lit(True)) & (F.col("low") <= F.col("high"))
+    by_bucket = made.withColumn("before", F.expr("lag(high) OVER (ORDER BY bucket)"))  # 32 rows
+    ends = [F.min("low").alias("low"), F.max("high").alias("high"), F.sum("rows").alias("rows"), F.count("*").alias("buckets")]
+    return by_bucket.agg(*ends, F.bool_and(follows).alias("in_order"), (F.max("rows") <= 1.25 * F.avg("rows")).alias("even"))
+
+
+@query("SELECT count(*) FILTER (p_size < 10) / count(*) AS small, count(*) FILTER (p_size < 10 AND NOT p_brand IN ('Brand#11', 'Brand#23')) / count(*) AS small_other, count(*) FILTER (nullif(p_size, 7) IS NULL OR p_size > 48) / count(*) AS odd FROM part")
+def predicate_shares(spark, sf_dir):
+    t = load(spark, sf_dir, "part")
+    small = compare(t, "p_size", "<", 10)
+    conditions = {"small": small, "small_other": all_of(small, ~in_list(t, "p_brand", ["Brand#11", "Brand#23"])), "odd": any_of(F.nullif("p_size", F.lit(7)).isNull(), compare(t, "p_size", ">", 48))}
+    return statistics.shares(t, conditions)
+
+
+@query("SELECT count(*) AS rows, min(l_partkey) AS low_l_partkey, max(l_partkey) AS high_l_partkey, min(l_quantity) AS low_l_quantity, max(l_quantity) AS high_l_quantity FROM lineitem")
+def footer_facts(spark, sf_dir):
+    return parquet.footer_facts(spark, f"{sf_dir}/lineitem.parquet", ["l_partkey", "l_quantity"])
+
+
+@query("SELECT count(*) AS rows, count(*) FILTER (o_totalprice > 250000) AS kept FROM orders")
+def catalogue_tables(spark, sf_dir):
+    path = new_path(spark, "catalogue")
+    c = Catalogue(spark)
+    c.open_all(sf_dir, ["orders", "customer"])
+    c.analyse("orders")
+    c.save(path)
+    found = Catalogue.load(spark, path)
+    assert not found.entry("orders").stale()
+    t = found.table("orders")
+    return t.agg(F.count("*").alias("rows"), F.count_if(compare(t, "o_totalprice", ">", 250000.0)).alias("kept"))
 
 
 @query(
@@ -491,7 +593,7 @@ def encoding_sizes(spark, sf_dir):
 
 @query("SELECT round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem")
 def correlation(spark, sf_dir):
-    return spark.createDataFrame([(round(statistics.linear_correlation(load(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice"), 6),)], "r double")
+    return statistics.correlation_of(load(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice").select(F.round("r", 6).alias("r"))
 
 
 @query(
@@ -499,7 +601,7 @@ def correlation(spark, sf_dir):
     "e AS (SELECT (SELECT -sum(p * log2(p)) FROM x) AS hx, (SELECT -sum(p * log2(p)) FROM y) AS hy, (SELECT -sum(p * log2(p)) FROM j) AS hj) SELECT round(greatest(0, hx + hy - hj) / least(hx, hy), 6) AS m FROM e"
 )
 def mutual_information(spark, sf_dir):
-    return spark.createDataFrame([(round(statistics.mutual_information(load(spark, sf_dir, "lineitem"), "l_returnflag", "l_linestatus"), 6),)], "m double")
+    return statistics.information_of(load(spark, sf_dir, "lineitem"), "l_returnflag", "l_linestatus").select(F.round("m", 6).alias("m"))
 
 
 # SQL text and chains of stages
@@ -521,4 +623,23 @@ def stage_chain(spark, sf_dir):
     return pipeline.run(t, stages)
 
 
+@query("SELECT user_id, event_id, value FROM events WHERE event_type <> 'click' ORDER BY value DESC, event_id")
+def stage_chain_sorted(spark, sf_dir):
+    t = load(spark, sf_dir, "events")
+    stages = [pipeline.filter_stage(compare(t, "event_type", "!=", "click")), pipeline.project_stage(["user_id", "event_id", "value"]), pipeline.sort_stage([SortKey("value", descending=True), SortKey("event_id")])]
+    return pipeline.run(t, stages)
+
+
+@query("SELECT event_type, count(*) AS n, sum(user_id)::BIGINT AS users FROM events WHERE value > 10 GROUP BY 1")
+def streamed_totals(spark, sf_dir):
+    """The same rows as they arrive in files, by Structured Streaming."""
+    sink, t = new_path(spark, "streamed"), load(spark, sf_dir, "events")
+    arriving = new_path(spark, "arriving")
+    t.select("event_type", "user_id", "value").write.option("maxRecordsPerFile", 100_000).parquet(arriving)
+    stream = spark.readStream.schema(spark.read.parquet(arriving).schema).parquet(arriving)
+    stages = [pipeline.filter_stage(F.col("value") > 10.0), pipeline.aggregate_stage(["event_type"], [Aggregate("n", "count_star"), Aggregate("users", "sum", "user_id")])]
+    pipeline.by_batches(stream, stages, sink, new_path(spark, "progress"), "complete")
+    return parquet.open_table(spark, sink)
+
+
 FLAGSHIP = "pricing_summary"

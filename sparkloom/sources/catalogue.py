@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from sparkloom.statistics.tables import TableStatistics, collect
 
 #: Growth of a table from which its statistics are stale.
 GROWTH = 0.2
+FORMAT = "format int, name string, path string, statistics string"
 
 
 @dataclass
@@ -73,15 +75,19 @@ class Catalogue:
         return files(self.table(name)).agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
 
     def save(self, path: str) -> None:
-        """Names and paths as one JSON file; statistics are taken again after loading."""
-        self.spark.createDataFrame([(1, n, e.path) for n, e in self.entries.items()], "format int, name string, path string").coalesce(1).write.mode("overwrite").json(path)
+        """Names, paths and statistics as one JSON file."""
+        rows = [(2, n, e.path, e.statistics and json.dumps(asdict(e.statistics))) for n, e in self.entries.items()]
+        self.spark.createDataFrame(rows, FORMAT).coalesce(1).write.mode("overwrite").json(path)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Catalogue:
-        rows = spark.read.schema("format int, name string, path string").json(path).orderBy("name").collect()
-        if any(r["format"] != 1 for r in rows):
-            raise DataError(f"{path}: not a catalogue of format 1")
+        """The saved tables, with their statistics, which are stale if the files have grown since."""
+        rows = spark.read.schema(FORMAT).json(path).orderBy("name").collect()
+        if any(r["format"] not in (1, 2) for r in rows):
+            raise DataError(f"{path}: not a catalogue of format 1 or 2")
         made = cls(spark)
         for r in rows:
             made.add(r["name"], r["path"])
+            if r["statistics"]:
+                made.entries[r["name"]].statistics = TableStatistics.of(json.loads(r["statistics"]))
         return made

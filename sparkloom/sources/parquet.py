@@ -5,7 +5,8 @@ account here comes from the file metadata column and an aggregate, so it works o
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import math
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -18,16 +19,26 @@ from sparkloom.operators.rows import keep
 from sparkloom.schema import need
 
 
-def write(df: DataFrame, path: str, order: str = "arrival", keys: Sequence[str] = (), files: int | None = None, rows_per_file: int = 0, bloom: Sequence[str] = ()) -> None:
-    """A new table at path. order: arrival, sorted, clustered or interleaved by keys. bloom: columns that get Parquet Bloom filters."""
+def write(df: DataFrame, path: str, order: str = "arrival", keys: Sequence[str] = (), files: int | None = None, rows_per_file: int = 0, bloom: Sequence[str] | Mapping[str, tuple[int, float]] = ()) -> None:
+    """A new table at path. order: arrival, sorted, clustered or interleaved by keys. bloom: columns that get Parquet Bloom filters, if wanted with the
+    different values expected in a row group and the share of false positives, which size them."""
     writer = arrange(df, order, keys, files).write
     for name in bloom:
-        writer = writer.option(f"parquet.bloom.filter.enabled#{df.select(need(df, name)).columns[0]}", "true")
+        writer = writer.option(f"parquet.bloom.filter.enabled#{need(df, name)}", "true")
+        if isinstance(bloom, Mapping):
+            writer = writer.option(f"parquet.bloom.filter.expected.ndv#{name}", bloom[name][0]).option(f"parquet.bloom.filter.fpp#{name}", bloom[name][1])
     if rows_per_file:
         writer = writer.option("maxRecordsPerFile", rows_per_file)
     writer.parquet(path)
 
 
+def bloom_bytes(values: int, false_positives: float) -> int:
+    """Size of a Bloom filter of so many values and that share of false positives."""
+    if values < 1 or not 0 < false_positives < 1:
+        raise ConfigError("a Bloom filter needs values and a share between 0 and 1")
+    return math.ceil(-values * math.log(false_positives) / math.log(2) ** 2 / 8)
+
+
 def open_table(spark: SparkSession, path: str) -> DataFrame:
     """The table at path, unread but for its schema. What isn't Parquet is refused."""
     try:
@@ -89,6 +100,23 @@ def zone_map(table: DataFrame, names: Sequence[str]) -> DataFrame:
     return wide.select("file", "rows", F.explode(F.array(*[F.struct(F.lit(n).alias("column_name"), F.col(f"low_{n}").alias("low"), F.col(f"high_{n}").alias("high"), F.col(f"nulls_{n}").alias("nulls")) for n in names])).alias("z")).select("file", "z.*", "rows")
 
 
+def footer_facts(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame:
+    """One row of rows, and low_NAME and high_NAME for number columns, answered by the Parquet footers: Spark's second reader pushes the aggregates down, so no page is read.
+    It is read while the settings that this takes hold, which then are as before."""
+    wanted = {"spark.sql.sources.useV1SourceList": "", "spark.sql.parquet.aggregatePushdown": "true"}
+    before = {k: spark.conf.get(k) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        table = open_table(spark, path)
+        need(table, *names)
+        made = table.agg(F.count("*").alias("rows"), *[x for n in names for x in (F.min(n).alias(f"low_{n}"), F.max(n).alias(f"high_{n}"))])
+        return spark.createDataFrame(made.collect(), made.schema)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def files(table: DataFrame) -> DataFrame:
     """file, bytes and rows of each part of a table."""
     return table.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes")).groupBy("file").agg(F.max("bytes").alias("bytes"), F.count("*").alias("rows"))

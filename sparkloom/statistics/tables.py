@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.errors import ConfigError, TypeMismatch
-from sparkloom.schema import NUMERIC, logical_of, need
+from sparkloom.operators.rows import keep
+from sparkloom.schema import NUMERIC, distinct_names, logical_of, need
 
 BUCKETS, PRECISION = 32, 12
 #: Share of rows that a predicate of unknown shape is taken to keep.
@@ -136,6 +137,15 @@ class TableStatistics:
     rows: int
     columns: dict[str, ColumnStatistics]
 
+    @classmethod
+    def of(cls, saved: dict) -> TableStatistics:
+        """What dataclasses.asdict made of it."""
+        columns = {}
+        for name, c in saved["columns"].items():
+            h = c["histogram"] and Histogram(tuple(Bucket(**b) for b in c["histogram"]["buckets"]), c["histogram"]["nulls"])
+            columns[name] = ColumnStatistics(**{**c, "histogram": h})
+        return cls(saved["rows"], columns)
+
 
 def collect(df: DataFrame, buckets: int = BUCKETS) -> TableStatistics:
     """Counts and sketches of all columns in one pass, and a histogram of each number."""
@@ -170,17 +180,31 @@ def join_order(fact: TableStatistics, dimensions: dict[str, tuple[TableStatistic
     return sorted(dimensions, key=lambda d: (join_rows(fact, *dimensions[d]) / max(fact.rows, 1) * covered.get(d, 1.0), d))
 
 
-def linear_correlation(df: DataFrame, a: str, b: str) -> float:
-    """Pearson's coefficient over rows without null; 0 for a constant."""
+def shares(df: DataFrame, conditions: Mapping[str, Column]) -> DataFrame:
+    """One row: the share of df's rows for which each condition is true, counted in one pass; 0 of an empty table."""
+    for name in distinct_names(conditions):
+        keep(df, conditions[name])
+    return df.agg(*[F.coalesce(F.avg(F.coalesce(c, F.lit(False)).cast("int")), F.lit(0.0)).alias(n) for n, c in conditions.items()])
+
+
+def correlation_of(df: DataFrame, a: str, b: str) -> DataFrame:
+    """One row: r, Pearson's coefficient over rows without null; 0 for a constant."""
     rows = df.select(*[F.col(c).cast("double").alias(n) for c, n in ((a, "a"), (b, "b"))]).where("a is not null and b is not null")
     if not {logical_of(df, a), logical_of(df, b)} <= set(NUMERIC):
         raise TypeMismatch("correlation is of numbers")
-    found = rows.agg(F.try_divide(F.covar_pop("a", "b"), F.stddev_pop("a") * F.stddev_pop("b"))).first()[0]
-    return 0.0 if found is None or math.isnan(found) else found
+    return rows.agg(F.coalesce(F.nanvl(F.try_divide(F.covar_pop("a", "b"), F.stddev_pop("a") * F.stddev_pop("b")), F.lit(0.0)), F.lit(0.0)).alias("r"))
+
+
+def linear_correlation(df: DataFrame, a: str, b: str) -> float:
+    return correlation_of(df, a, b).first()[0]
 
 
 def mutual_information(df: DataFrame, a: str, b: str, buckets: int = 16) -> float:
-    """Mutual information of the columns over the smaller of their entropies, 0 to 1; numbers in quantile buckets, others by value."""
+    return information_of(df, a, b, buckets).first()[0]
+
+
+def information_of(df: DataFrame, a: str, b: str, buckets: int = 16) -> DataFrame:
+    """One row: m, the mutual information of the columns over the smaller of their entropies, 0 to 1; numbers in quantile buckets, others by value."""
     rows = df.where(F.col(need(df, a)).isNotNull() & F.col(need(df, b)).isNotNull())
     placed = []
     for c in (a, b):
@@ -190,12 +214,13 @@ def mutual_information(df: DataFrame, a: str, b: str, buckets: int = 16) -> floa
         else:
             placed.append(F.col(c))
     joint = rows.select(placed[0].alias("a"), placed[1].alias("b")).groupBy("a", "b").agg(F.count("*").alias("n"))
-    total = joint.agg(F.sum("n")).first()[0]
-    if not total:
-        return 0.0
-    entropy = [df_.agg(F.sum(-F.col("n") / total * F.log2(F.col("n") / total))).first()[0] for df_ in (joint, joint.groupBy("a").agg(F.sum("n").alias("n")), joint.groupBy("b").agg(F.sum("n").alias("n")))]
-    least = min(entropy[1], entropy[2])
-    return min(1.0, max(0.0, (entropy[1] + entropy[2] - entropy[0]) / least)) if least > 1e-12 else 0.0
+    # log2(n) - sum(n_i * log2(n_i)) / n is the entropy of counts n_i: of the pairs, and of either column, as rows of one small table
+    sides = joint.groupingSets([["a", "b"], ["a"], ["b"]], "a", "b").agg(F.sum("n").alias("n"), F.grouping_id().alias("side"))
+    of_side = sides.groupBy("side").agg((F.log2(F.sum("n")) - F.sum(F.col("n") * F.log2("n")) / F.sum("n")).alias("h"))
+    entropy = of_side.agg(*[F.max(F.when(F.col("side") == s, F.col("h"))).alias(x) for s, x in ((0, "both"), (1, "one"), (2, "two"))])
+    least = F.least("one", "two")
+    shared = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(F.col("one") + F.col("two") - F.col("both"), least)))
+    return entropy.select(F.when(least > 1e-12, shared).otherwise(0.0).alias("m"))
 
 
 def _at_most(value):

@@ -44,6 +44,8 @@ def test_projection(sample):
     ):
         with pytest.raises(error):
             call()
+    assert rows.replace(sample, {"v": F.col("a") + 1, "b": F.col("v")}).columns == ["a", "g", "v", "b"]
+    assert got(rows.replace(sample, {"v": F.col("a") + 1, "b": F.col("v")}), "v", "b") == sorted([(2, 1.5), (3, 2.5), (None, 3.5), (5, 4.5)], key=repr)
     with pytest.raises(Exception):  # a computed column can't see its sibling
         rows.compute(sample, {"b": F.col("a") + 1, "c": F.col("b") + 1})
 
@@ -82,7 +84,8 @@ def test_joins_with_null_keys_and_clashing_names(spark, sample):
     assert joins.semi(sample, right, ["g"], ["g"]).count() == 2
     assert got(joins.anti(sample, right, ["g"], ["g"]), "v") == [(2.5,), (4.5,)]
     f = joins.fanout(sample, right, ["g"], ["g"])
-    assert (f.matched_left, f.pairs, f.fanout) == (2, 2, 0.5)
+    assert (f.left_rows, f.right_rows, f.matched_left, f.pairs, f.fanout) == (4, 3, 2, 2, 0.5)
+    assert tuple(joins.fanout_counts(sample, right, ["g"], ["g"]).select("left_keys", "matched_keys").first()) == (2, 1)
     with pytest.raises(TypeMismatch):
         joins.inner_join(sample, right, ["a"], ["g"])
     with pytest.raises(ConfigError):
@@ -123,6 +126,10 @@ def test_distinct_and_sets(spark, sample):
     assert got(sets.difference(a, b)) == [(1,)]
     assert sets.union_all(a, b).count() == 7
     assert [r.k for r in sets.distinct(a, ordered=True).collect()] == [1, 2, None]
+    assert tuple(sets.account(a, b).first()) == (7, 4, 2, 1, 3, 3 / 7) and tuple(sets.account(a.limit(0), b.limit(0)).first()) == (0, 0, 0, 0, 0, 0.0)
+    assert tuple(distinct.account(sample, ["g"]).first()) == (4, 3, 0.75) and tuple(distinct.account(sample.limit(0)).first()) == (0, 0, 0.0)
+    kept = distinct.sketches(sample, "a", ["g"])
+    assert distinct.merged_count(kept).first().n == 3 and got(distinct.merged_count(kept, ["g"])) == sorted([("x", 1), ("y", 1), (None, 1)], key=repr)
     with pytest.raises(TypeMismatch):
         sets.union(a, literal_table(spark, k=["x"]))
     with pytest.raises(TypeMismatch):
@@ -133,6 +140,7 @@ def test_windows(sample):
     order = [SortKey("v")]
     w = [Window("r", "row_number", None, ["g"], order), Window("s", "running_sum", "a", [], order), Window("p", "lag", "g", [], order), Window("q", "lead", "a", [], order, 2)]
     assert [(r.r, r.s, r.p, r.q) for r in windows.apply(sample, w).orderBy("v").collect()] == [(1, 1.0, None, None), (1, 3.0, "x", 4), (2, 3.0, "y", None), (1, 7.0, "x", None)]
+    assert got(windows.apply(sample.select("g"), [Window("r", "row_number", None, ["g"])])) == sorted([("x", 1), ("x", 2), ("y", 1), (None, 1)], key=repr)
     ties = windows.apply(sample, [Window("k", "rank", None, [], [SortKey("g")]), Window("d", "dense_rank", None, [], [SortKey("g")])])
     assert got(ties, "g", "k", "d") == [("x", 1, 1), ("x", 1, 1), ("y", 3, 2), (None, 4, 3)]
     for bad, error in ((Window("r", "rank", None, ["g"]), ConfigError), (Window("a", "lag", "a", [], order), SchemaError), (Window("r", "running_sum", "g", [], order), TypeMismatch), (Window("r", "lag", "a", [], order, 0), ConfigError)):
@@ -162,6 +170,10 @@ def test_casts_and_parses(spark, sample):
     assert casting.parse(text, "s", "integer", "skip").count() == 2
     with pytest.raises(DataError):
         casting.parse(text, "s", "integer")
+    odd = literal_table(spark, v=[float("nan"), 1e30, -(2.0**63), 2.0**63, float("-inf"), 2.5, None])
+    assert got(casting.cast(odd, "v", "integer")) == sorted([(None,)] * 5 + [(-(2**63),), (2,)], key=repr)
+    assert casting.loss(odd, "v", "integer") == casting.Loss(7, 5, 1)
+    assert got(casting.parse(literal_table(spark, s=["2020-02-29", "2021-02-29"]), "s", "date", "null")) == sorted([(datetime.date(2020, 2, 29),), (None,)], key=repr)
     flags = literal_table(spark, s=["Yes", "0", "t"])
     assert got(casting.parse(flags, "s", "boolean", "null")) == [(False,), (None,), (True,)]
     for call in (lambda: casting.cast(text, "s", "integer"), lambda: casting.parse(sample, "a", "integer")):

@@ -53,6 +53,42 @@ def test_fragments_zone_maps_and_refusals(spark, numbers, tmp_path):
         parquet.write(numbers, str(tmp_path / "x"), "sideways")
 
 
+def test_footers_and_bloom_filters(spark, numbers, tmp_path):
+    path = str(tmp_path / "t")
+    parquet.write(numbers, path, "sorted", ["id"], files=4, bloom={"k": (1000, 0.01)})
+    before = spark.conf.get("spark.sql.sources.useV1SourceList")
+    assert tuple(parquet.footer_facts(spark, path, ["id", "v"]).first()) == (4000, 0, 3999, 0.0, 1999.5)
+    assert spark.conf.get("spark.sql.sources.useV1SourceList") == before
+    assert parquet.bloom_bytes(1000, 0.01) == 1199
+    import glob
+
+    import pyarrow.parquet as pq
+
+    sizes = [(c.path_in_schema, c.total_compressed_size) for f in glob.glob(f"{path}/*.parquet") for c in [pq.ParquetFile(f).metadata.row_group(0).column(1)]]
+    assert len(sizes) == 4 and agree(parquet.open_table(spark, path), numbers)
+    plain = str(tmp_path / "plain")
+    parquet.write(numbers, plain, "sorted", ["id"], files=4)
+    import os
+
+    size = lambda p: sum(os.path.getsize(f) for f in glob.glob(f"{p}/*.parquet"))
+    assert 4 * 1024 <= size(path) - size(plain) <= 4 * 3000  # a filter of about 1,199 bytes, a power of two, in each file
+    with pytest.raises(ConfigError):
+        parquet.bloom_bytes(0, 0.01)
+
+
+def test_interleaved_ranks(spark):
+    from sparkloom.operators import layout
+
+    df = spark.range(1000).select(((F.col("id") * 37) % 1000).alias("a"), F.when(F.col("id") % 10 != 0, F.date_from_unix_date((F.col("id") % 50).cast("int"))).alias("d"))
+    ranks = layout.ranked(df, ["a", "d"])
+    assert [r.a for r in ranks.orderBy("_rank0").collect()] == list(range(1000))
+    assert ranks.where("d is null").agg(F.max("_rank1")).first()[0] == 0 and ranks.select("_rank1").distinct().count() == 46
+    made = spark.createDataFrame([(5, 3), (4095, 4095)], "x long, y long").select(layout.morton(["x", "y"]).alias("z")).collect()
+    assert [r.z for r in made] == [0b100111, 2**24 - 1]
+    wide = spark.createDataFrame([(4095,) * 4], "p long, q long, r long, s long").select(layout.morton(["p", "q", "r", "s"]).alias("z")).first().z
+    assert wide == 2**48 - 1
+
+
 def test_catalogue(spark, numbers, tmp_path):
     numbers.write.parquet(str(tmp_path / "facts.parquet"))
     c = Catalogue(spark)
@@ -64,7 +100,8 @@ def test_catalogue(spark, numbers, tmp_path):
     c.refresh("facts")
     assert c.entry("facts").rows == 6000 and c.entry("facts").stale()
     c.save(str(tmp_path / "saved"))
-    assert Catalogue.load(spark, str(tmp_path / "saved")).table("facts").count() == 6000
+    loaded = Catalogue.load(spark, str(tmp_path / "saved"))
+    assert loaded.table("facts").count() == 6000 and loaded.entry("facts").statistics == c.entry("facts").statistics and loaded.entry("facts").stale()
     assert cli.main(["query", "select count(*) as n from facts_cli", "--table", f"facts_cli={tmp_path}/facts.parquet", "--json"], spark) == 0
     assert cli.main(["query", "selec", "--json"], spark) == 2
     for command in ("schema", "stats", "files"):
@@ -89,6 +126,8 @@ def test_histograms_and_estimates(numbers):
 def test_correlation_and_runs(spark, numbers):
     twice = numbers.withColumn("w", F.col("v") * -2).withColumn("c", F.lit(1))
     assert abs(st.linear_correlation(twice, "v", "w") + 1) < 1e-9 and st.linear_correlation(twice, "v", "c") == 0
+    assert st.mutual_information(twice.limit(0), "v", "w") == 0 == st.mutual_information(twice, "c", "v")
+    assert tuple(st.shares(numbers, {"a": F.col("k") < 250, "b": F.col("s").isNull(), "c": ~(F.col("s") == "1")}).first()) == (0.25, 0.1, numbers.where("s <> '1'").count() / 4000)
     assert st.mutual_information(twice, "v", "w") > 0.95 > 0.2 > st.mutual_information(twice, "k", "s")
     assert st.related(twice, ["v", "w", "k"])[0][:2] == ("v", "w")
     assert st.corrected(0.3, 0.3, 1.0) == 0.3

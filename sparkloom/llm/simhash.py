@@ -13,7 +13,8 @@ such a point. A point has at most 65 fingerprints, so no group grows with the da
 `similar_documents` finds texts by the Jaccard likeness of their shingle sets, for which one fingerprint of 64 bits is too coarse: at a likeness of 0.8 two
 fingerprints differ in about ten bits, and no cell of so few common segments tells texts apart. So each text also has SAMPLES fingerprints of TAKEN shingles each,
 drawn by hashes that all texts share; their segment counts are its cells of the grid. Of what meets there, sizes, the Manhattan and then the Hamming distance of the whole
-texts' fingerprints (RANGE) rule out most, and the shingle sets themselves decide."""
+texts' fingerprints (RANGE) rule out most. In crowds a second embedding does, too: whether a set has an odd number of shingles in each of PARTS parts. Every shingle that only
+one of two sets has changes one of those bits, so their distance never exceeds the number of such shingles. What is left is decided by the shingle sets themselves."""
 
 from __future__ import annotations
 
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import Rolling, materialise, mix, small, stretch_hashes, text_of, utf8, words_of
+from sparkloom.llm.common import Rolling, bit_filter, materialise, mix, passes, small, stretch_hashes, text_of, utf8, words_of
 from sparkloom.llm.components import connected_components
 
 SHINGLE, SEED, DISTANCE, GROUPS, CELL = 3, 42, 2, 5, 64
@@ -40,6 +41,9 @@ WORDS, SIMILARITY = 5, 0.8
 SAMPLES, TAKEN = 20, 6
 #: Bits in which the fingerprints of similar texts may differ. At a likeness of 0.8 ten are expected, with a deviation of three.
 RANGE = 24
+PARTS = 1024
+#: Bits of the filter of doc_ids whose sets are wanted, for each of them and in all: 4 MB.
+BITS, MOST_BITS = 16, 1 << 25
 
 
 def fingerprint(text: bytes) -> int:
@@ -147,7 +151,7 @@ def _majority(hashes: np.ndarray) -> np.ndarray:
 
 
 def _sketch(size: int) -> Callable:
-    """doc_id, text -> doc_id, digest of the shingle set, its size, fingerprint, and the sample fingerprints."""
+    """doc_id, text -> doc_id, digest of the shingle set, its size, fingerprint, the sample fingerprints, and the parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         draw = mix(np.arange(1, 2 * SAMPLES * TAKEN + 1, dtype=np.uint64)).reshape(2, -1)
@@ -155,10 +159,12 @@ def _sketch(size: int) -> Callable:
         for batch in small(batches, 1):
             hashes, edges = shingle_hashes(batch.column(1), size)
             digests, n, fps = [], np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.uint64)
+            odd = np.zeros((batch.num_rows, PARTS), np.uint8)
             for i, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
                 own = np.unique(hashes[a:b])
                 digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
                 n[i] = len(own)
+                odd[i] = np.bincount((own >> np.uint64(32) & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS) & 1
                 ones = np.zeros(64, np.int64)
                 for lo in range(0, len(own), BLOCK):
                     ones += np.unpackbits(own[lo : lo + BLOCK].astype(">u8").view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
@@ -171,24 +177,23 @@ def _sketch(size: int) -> Callable:
                         least[:, k] = np.minimum.reduceat(mix(hashes * draw[0, k] + draw[1, k]), edges[some])
             samples = np.zeros((batch.num_rows, SAMPLES), np.uint64)
             samples[some] = _majority(least.reshape(len(some), SAMPLES, TAKEN))
-            ends = pa.array(np.arange(0, SAMPLES * batch.num_rows + 1, SAMPLES, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(digests, pa.binary()), pa.array(n), pa.array(fps.view(np.int64)), pa.ListArray.from_arrays(ends, pa.array(samples.view(np.int64).ravel()))],
-                ["doc_id", "digest", "n", "fp", "samples"],
-            )
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.view(np.int64).ravel())) for x in (samples, np.packbits(odd, axis=1).view(np.uint64))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(n), pa.array(fps.view(np.int64)), *lists], ["doc_id", "digest", "n", "fp", "samples", "odd"])
 
     return run
 
 
-def _sets(size: int) -> Callable:
-    """id, text -> id and the sorted shingle hashes."""
+def _sets(size: int, bits) -> Callable:
+    """id, key, text -> id and the sorted shingle hashes of those that pass the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches, 1):
-            hashes, edges = shingle_hashes(batch.column(1), size)
-            own = [np.unique(hashes[a:b]).view(np.int64) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
-            at = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(at, pa.array(np.concatenate([*own, np.zeros(0, np.int64)])))], ["id", "shingles"])
+        for whole in batches:
+            wanted = whole.filter(pa.array(passes(bits.value, whole.column(1).to_numpy().view(np.uint64)), pa.bool_()))
+            for batch in small([wanted], 2):
+                hashes, edges = shingle_hashes(batch.column(2), size)
+                own = [np.unique(hashes[a:b]).view(np.int64) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
+                at = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(at, pa.array(np.concatenate([*own, np.zeros(0, np.int64)])))], ["id", "shingles"])
 
     return run
 
@@ -200,6 +205,12 @@ def _may_be_similar(a: str, b: str, similarity: float) -> Column:
     return (F.least(*n) >= similarity * F.greatest(*n) - 1e-9) & manhattan & (F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= RANGE)
 
 
+def _may_share_enough(a: str, b: str, similarity: float) -> Column:
+    """By the parities: sets of that likeness differ in (1 - s) / (1 + s) of their summed sizes at most."""
+    apart = sum((F.bit_count(F.col(f"{a}.odd")[i].bitwiseXOR(F.col(f"{b}.odd")[i])) for i in range(PARTS // 64)), F.lit(0))
+    return apart <= (1 - similarity) / (1 + similarity) * (F.col(f"{a}.n") + F.col(f"{b}.n")) + 1e-9
+
+
 def similar_documents(docs: DataFrame, size: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id and component_id (the least doc_id reachable over links of texts whose shingle sets have a Jaccard likeness of `similarity` or more) for every doc_id of docs.
 
@@ -210,8 +221,8 @@ def similar_documents(docs: DataFrame, size: int = WORDS, similarity: float = SI
     leaves unconnected are then held against each other. So a group of copies costs as many comparisons as it has different texts, and no link between different texts
     that meet is lost."""
     texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    rows = materialise(texts.mapInArrow(_sketch(size), "doc_id long, digest binary, n long, fp long, samples array<long>"), "sketches")
-    classes = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "fp", "samples")).alias("c")).select("digest", "c.*")
+    rows = materialise(texts.mapInArrow(_sketch(size), "doc_id long, digest binary, n long, fp long, samples array<long>, odd array<long>"), "sketches")
+    classes = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "fp", "samples", "odd")).alias("c")).select("digest", "c.*")
     classes = materialise(classes.withColumnRenamed("doc_id", "id"), "classes")
     points = classes.where("n > 0").select("id", F.struct("n", "fp", _counts("fp").alias("counts")).alias("p"), F.posexplode("samples").alias("sample", "f"))
     keyed = points.select("id", "p", "sample", _counts("f").alias("cell"))
@@ -223,9 +234,10 @@ def similar_documents(docs: DataFrame, size: int = WORDS, similarity: float = SI
     roots = connected_components(links, "a", "b")
     apart = met.join(roots, met.id == roots.node, "left").select("sample", "cell", "id", F.struct("p.*", F.coalesce("root", "id").alias("root")).alias("p"))
     split = apart.groupBy("sample", "cell").agg(F.min("p.root").alias("x"), F.max("p.root").alias("y")).where("x <> y").select("sample", "cell")
-    apart = materialise(apart.join(split, ["sample", "cell"]), "apart")
+    apart = apart.join(split, ["sample", "cell"]).join(classes.select("id", "odd"), "id")
+    apart = materialise(apart.select("sample", "cell", "id", F.struct("p.*", "odd").alias("p")), "apart")
     a, b = apart.select("sample", "cell", F.col("id").alias("a"), F.col("p").alias("pa")), apart.select("sample", "cell", F.col("id").alias("b"), F.col("p").alias("pb"))
-    rest = a.join(b, ["sample", "cell"]).where("a < b and pa.root <> pb.root").where(_may_be_similar("pa", "pb", similarity)).select("a", "b").distinct()
+    rest = a.join(b, ["sample", "cell"]).where("a < b and pa.root <> pb.root").where(_may_be_similar("pa", "pb", similarity) & _may_share_enough("pa", "pb", similarity)).select("a", "b").distinct()
     rest = materialise(rest.join(first, ["a", "b"], "left_anti"), "pairs")
     links = links.union(materialise(_similar(texts, rest, size, similarity), "similar"))
     # the classes of a doc_id with several texts are one document
@@ -238,9 +250,11 @@ def similar_documents(docs: DataFrame, size: int = WORDS, similarity: float = SI
 
 
 def _similar(texts: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose shingle sets have that likeness."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = materialise(texts.join(ids, "doc_id", "left_semi").mapInArrow(_sets(size), "id long, shingles array<long>"), "sets")
+    """The pairs (a, b) of doc_ids whose shingle sets have that likeness. Sets are made where the texts are read, of the wanted doc_ids and the few others that pass their filter."""
+    keys = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().select(F.xxhash64("id").alias("key"))
+    bits = texts.sparkSession.sparkContext.broadcast(bit_filter(keys, BITS, MOST_BITS))
+    wanted = texts.select("doc_id", F.xxhash64("doc_id").alias("key"), "text")
+    sets = materialise(wanted.mapInArrow(_sets(size, bits), "id long, shingles array<long>"), "sets")
     of_a, of_b = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
     return pairs.join(of_a, "a").join(of_b, "b").where(common >= similarity * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b").distinct()

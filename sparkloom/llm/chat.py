@@ -137,8 +137,10 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def digest(examples: DataFrame) -> DataFrame:
-    """What can be read back from the examples of each conversation, which stand together and in order as `expand_prefixes` leaves them."""
-    return examples.mapInArrow(_read_back, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    """What can be read back from the examples of each conversation: its turns from the longest, its replies from each. Examples may stand in any order and partition; they are
+    dealt by conversation here. Rows of a null conv_id are one conversation; other columns are ignored; an empty table gives no rows."""
+    dealt = examples.select(*_NAMES).repartition("conv_id").sortWithinPartitions("conv_id", F.asc_nulls_last("target"))
+    return dealt.mapInArrow(_read_back, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def op9_chat_formatting(spark, sf_dir: str) -> DataFrame:

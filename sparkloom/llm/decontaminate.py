@@ -52,6 +52,7 @@ def _of_basic_plane() -> tuple[np.ndarray, np.ndarray]:
         if len(x) == 1 and size(ord(x)) == size(c):
             lower[c] = ord(x)
         capital[c] = chr(c).isupper() or chr(c).istitle()
+    lower[ord("ς")] = ord("σ")  # a capital has no form for the end of a word
     return lower, capital
 
 

@@ -8,6 +8,7 @@ import pytest
 import xxhash
 from hypothesis import given
 from hypothesis import strategies as hs
+from pyspark.sql import functions as F
 
 from sparkloom.llm import chat, decontaminate, order_minhash, queries
 
@@ -29,6 +30,7 @@ CONVERSATIONS = {
     1: [("user", "hi"), ("assistant", "</turn> ### x: \\"), ("user", "more"), ("assistant", "ok")],
     2: [("system", "s"), ("user", "no answer")],
     3: [("assistant", ""), ("assistant", "é" * 3), ("user", None)],
+    7: [("assistant", "long </turn> " * 30_000), ("user", "x" * 100_000), ("assistant", "end")],
     None: [(None, "lost"), ("assistant", "found")],
     5: [("user", "u"), ("assistant", "a")] * 40,
 }
@@ -43,6 +45,7 @@ def test_examples_and_digests(spark):
         before = CONVERSATIONS[1][: e.target + 1]
         assert chat.parse(e.text) == before and chat.unescape(e.text[e.loss_start : e.loss_end]) == before[-1][1] and before[-1][0] == "assistant"
     found = {r.conv_id: r for r in chat.digest(examples).collect()}
+    assert {r.conv_id: r for r in chat.digest(examples.orderBy("n_turns", F.desc("conv_id")).repartition(5)).collect()} == found
     assert set(found) == set(CONVERSATIONS)
     for c, turns in CONVERSATIONS.items():
         turns = [(r or "", t or "") for r, t in turns]
@@ -141,6 +144,13 @@ def test_many_ranges_have_the_same_next(spark, monkeypatch):
     assert {r.doc_id: r.edited for r in order_minhash.fingerprint_with_next(docs).collect()} == one
 
 
+def test_equal_turns_stand_in_order_of_role_and_text(spark):
+    rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "assistant", "z"), (1, None, "assistant", "last"), (1, 1, "user", "c")]
+    examples = chat.expand_prefixes(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).orderBy("target").collect()
+    assert [chat.parse(e.text) for e in examples][-1] == [("assistant", "z"), ("user", "a"), ("user", "b"), ("user", "c"), ("assistant", "last")]
+    assert [e.target for e in examples] == [0, 4]
+
+
 def test_order_matters_and_occurrences_count(spark):
     words = [f"w{i}" for i in range(300)]
     rows = [(1, " ".join(words)), (2, " ".join(words[150:] + words[:150])), (3, " ".join(words * 2)), (4, " ".join(words))]
@@ -184,6 +194,27 @@ def test_torn_slots_don_t_count(spark):
     assert {r.doc_id: r.contaminated for r in found.collect()} == {1: True, 2: False}
 
 
+def test_one_changed_number_voids_only_its_windows(spark):
+    item = " ".join(f"{w} 5" if k in (8, 20) else w for k, w in enumerate("a farmer sells eggs on the market and keeps coins in a tin box while her son counts all hens twice a day before they walk home along the muddy road to bed".split()))
+    changed = item.replace("keeps 5", "keeps 6")
+    other = "Ένας Αγρότης πουλά αυγά στην αγορά της Πόλης και κρατά νομίσματα σε ένα κουτί"
+    rows = [(1, changed), (2, item), (3, other.replace("Πόλης", "Σπάρτης").replace("Αγρότης", "Ψαράς")), (4, other.upper()), (5, "ordinary text about the sea and 5 hens")]
+    items = spark.createDataFrame([(7, item), (8, other)], "item_id long, text string")
+    assert changed != item
+    found = {r.doc_id: r for r in decontaminate.flag(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
+    assert {i: list(r["items"]) for i, r in found.items()} == {1: [7], 2: [7], 3: [8], 4: [8], 5: []}
+    assert 0.5 < found[1].cover < 1 == found[2].cover
+
+
+def test_clashing_columns_are_kept_apart_or_replaced(spark):
+    docs = spark.createDataFrame([(1, ITEM, "a", 1, 2), (2, "clean text", "b", 3, 4)], "doc_id long, text string, items string, cover int, _id int")
+    items = spark.createDataFrame([(7, ITEM)], "item_id long, text string")
+    found = decontaminate.flag(docs, items)
+    assert sorted(found.columns) == ["_id", "contaminated", "cover", "doc_id", "items", "text"] and {r.doc_id: list(r["items"]) for r in found.collect()} == {1: [7], 2: []}
+    kept = decontaminate.clean(docs, items)
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(2, "clean text", "b", 3, 4)]
+
+
 def test_long_runs_and_short_items_are_caught(spark):
     words = [f"{a}{b}" for a in "bcdfgh" for b in ("alo", "emi", "iru", "ona", "upe", "yse", "arn", "est", "isk", "olm")]
     items = spark.createDataFrame([(1, " ".join(words[:59])), (2, "who wrote hamlet")], "item_id long, text string")

@@ -252,7 +252,7 @@ def _keep(model, text: int) -> Callable:
 
 
 def keep_known(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs, all their columns as they are, whose text has a language. Of a model that learned none, the rows whose text has a letter."""
+    """The rows of docs, all their columns as they are, whose text has a language; null, empty and letterless texts go. Of a model that learned none, the rows whose text has a letter."""
     return docs.mapInArrow(_keep(docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")), docs.schema)
 
 

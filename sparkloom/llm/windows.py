@@ -274,6 +274,7 @@ def repeated_windows(docs: DataFrame, spec: Symbols, compare: Callable, stretch_
     kinds = kinds.withColumn("least_kd", F.col("kd")).withColumn("kind", F.when(partly, F.col("digest")))
     columns = ["key", "kd", "th", "s", "n", "p", "bytes", "kind"]
     parts = kinds.join(crowded, "key", "left_semi").select(*columns[1:]).mapInArrow(_split(spec), "key long, kd long, th long, s long, n int, p int, bytes binary, kind binary")
+    parts = materialise(parts, f"{name}-parts")  # three steps read them
     sizes = parts.groupBy("key").agg(F.count("*").alias("stretches")).where("stretches > 1")
     few, many = (parts.join(sizes.where(f"stretches {sign} {LONG_CROWD}"), "key", "left_semi") for sign in ("<=", ">"))
     near = kinds.join(crowded, "key", "left_anti").select(*columns).unionByName(few.select(*columns)).repartition(F.col("key")).sortWithinPartitions("key")

@@ -7,6 +7,7 @@ import pytest
 import xxhash
 
 from sparkloom.llm import components, simhash, suffix_bwt, suffix_tree, windows
+from sparkloom.llm.common import SLICE_BYTES, stretch_hashes, words_of
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kd long, th string"
 EMPTY = hashlib.sha256(b"").hexdigest()
@@ -79,6 +80,17 @@ def test_fingerprints_and_components(spark):
     assert sorted(repr((r.doc_id, r.component_id)) for r in found) == sorted(repr((i, least.get(root[fps[i, t]]))) for i, t in rows)
 
 
+def test_very_long_texts_have_their_whole_fingerprint():
+    rng = random.Random(3)
+    text = " ".join(f"W{rng.randrange(900)}" for _ in range(simhash.BLOCK + 5000))
+    assert simhash.fingerprint(text.encode()) == simhash_of(text)
+    word = "w" * (SLICE_BYTES + 10)
+    data = np.frombuffer(f"{word} b {word} c b {word}x".encode(), np.uint8)
+    begins, ends, _ = words_of(data, np.array([0, len(data)]))
+    hashes = stretch_hashes(data, begins, ends)
+    assert hashes[0] == hashes[2] != hashes[5] and hashes[1] == hashes[4] != hashes[3]
+
+
 @pytest.mark.parametrize("cell", [64, 1])
 def test_links_of_fingerprints_in_full_and_crowded_cells(spark, monkeypatch, cell):
     monkeypatch.setattr(simhash, "CELL", cell)

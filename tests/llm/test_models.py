@@ -1,9 +1,12 @@
 import random
+import re
+import unicodedata
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom.llm import language, mixing, quality, toxicity
 
@@ -210,6 +213,52 @@ def test_flat_trees_agree_with_walking():
         assert np.isclose(trees.score(row[None])[0], 1 / (1 + np.exp(-total)))
 
 
+def plain_posteriors(docs, labels):
+    """Naive Bayes over binned statistics and telling words, in plain dictionaries; every labelled row is in the sample."""
+    k, of = 3, {}
+    for i, q, t, *_ in labels:
+        if i is not None and q is not None and t is not None:
+            a = of.get(i, (0, 0))
+            of[i] = (max(a[0], t), max(a[1], q))
+    of = {i: 2 if t > 0 else 0 if q > 0 else 1 for i, (t, q) in of.items()}
+
+    def described(text):
+        text = text or ""
+        tokens = [w for w in re.split(r"[\x20\x09-\x0D]+", text.lower()) if w]
+        n, m = max(len(text), 1), max(len(tokens), 1)
+        signs = sum(not (unicodedata.category(c)[0] in "LN" or c in " \t\n\x0b\x0c\r.,") for c in text)
+        values = [np.log2(n), len(text) / m * 2 - 4, signs / n * 64, sum(unicodedata.category(c) == "Lu" for c in text) / n * 32]
+        return [min(max(int(v), 0), mixing.BINS - 1) for v in values], set(re.split(r"[\x20\x09-\x0D]+", text.lower()))
+
+    rows = [(of[i], *described(t)) for i, t, *_ in docs if i in of]
+    size = np.bincount([r[0] for r in rows], minlength=k)
+    table = np.ones((k, 4, mixing.BINS))
+    counts = {}
+    for d, bins, words in rows:
+        for s, b in enumerate(bins):
+            table[d, s, b] += 1
+        for w in words:
+            counts.setdefault(w, [0] * k)[d] += 1
+    table = np.log(table / table.sum(2, keepdims=True))
+    rate = lambda c: [(x + 0.5) / (size[i] + 1) for i, x in enumerate(c)]
+    told = {w: round(sum(x * np.log(r / ((sum(c) + 0.5 * k) / (size.sum() + k))) for x, r in zip(c, rate(c))), 9) for w, c in counts.items() if sum(c) >= 5}
+    best = {w: np.log(rate(counts[w])) for w in sorted(told, key=lambda w: (-told[w], w))[: mixing.WORDS]}
+    out = []
+    for i, t, *_ in docs:
+        bins, words = described(t)
+        log = np.log((size + 1) / (size.sum() + k)) + sum(table[:, s, b] for s, b in enumerate(bins)) + sum((best[w] for w in words if w in best), np.zeros(k))
+        out.append((i, *(np.exp(log - log.max()) / np.exp(log - log.max()).sum())))
+    return out
+
+
+def test_posteriors_against_plain_naive_bayes(data):
+    docs, labels, rows, marks = data
+    found = mixing.soft_membership(docs, labels).select("doc_id", *[f"p_{d}" for d in mixing.DOMAINS]).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, round(r[1], 5))
+    for a, b in zip(sorted(map(tuple, found), key=key), sorted(plain_posteriors(rows, marks), key=key), strict=True):
+        assert a[0] == b[0] and np.allclose(a[1:], b[1:], atol=1e-6)
+
+
 def test_mixing_meets_the_targets(data):
     docs, labels, rows, _ = data
     found = mixing.mix(docs, labels).toPandas()
@@ -221,6 +270,8 @@ def test_mixing_meets_the_targets(data):
     assert mean[True] > mean[False] + 0.3
     out = mixing.mixed_documents(docs, labels)
     assert out.columns == [*docs.columns, "rate", "copy"] and out.count() > 0
+    clashing = mixing.mixed_documents(docs.withColumns({"rate": F.lit("x"), "times": F.lit(3), "_id": F.lit(1)}), labels)
+    assert clashing.columns == [*docs.columns, "times", "_id", "rate", "copy"] and clashing.count() == out.count()
     assert mixing.mix(docs.limit(0), labels).count() == 0 and mixing.mix(docs, labels.limit(0)).count() == len(rows)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.llm import decontaminate, language, mixing, simhash, suffix_tree
 from sparkloom.llm.common import materialise, reach_workers, table
+from sparkloom.session import discard, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,8 +48,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in turn. What a stage wrote on the way is removed when its result is written; that of the last is left to `session.discard`."""
     reach_workers(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
+        before = written()
         docs = materialise(stage(spark, docs, sf_dir), name)
+        discard(spark, before, keep=name)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -19,8 +19,27 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+#: Folders that this process has asked for and not removed.
+_written: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/sparkloom/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/sparkloom/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def written() -> int:
+    """How many folders there are now, for `discard` to start from."""
+    return len(_written)
+
+
+def discard(spark: SparkSession, since: int = 0, keep: str = "") -> None:
+    """Remove the folders asked for since then, but for one that is named `keep`. DataFrames that read them can't be used any more."""
+    for path in [p for p in _written[since:] if not keep or f"/sparkloom/{keep}-" not in p]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        _written.remove(path)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -45,6 +45,20 @@ QUERIES: dict[str, Query] = {
 }
 QUERIES = {name: _importable(query) for name, query in QUERIES.items()}
 SQL: dict[str, str] = {
+    # every 200-byte window that starts twice, runs of those that overlap or touch, and the bytes between the runs
+    "op2_suffix_array_dedup": """
+        WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+        s AS (SELECT doc_id, b, unnest(range(1, octet_length(b) - 198)) AS i FROM d WHERE octet_length(b) >= 200),
+        h AS (SELECT doc_id, i, md5(b[i:i + 199]) AS k FROM s),
+        w AS (SELECT doc_id, i FROM h SEMI JOIN (SELECT k FROM h GROUP BY k HAVING count(*) > 1) r ON h.k = r.k),
+        n AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS new FROM w),
+        g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM n),
+        p AS (SELECT doc_id, min(i) AS a, max(i) + 199 AS z FROM g GROUP BY doc_id, run),
+        o AS (SELECT doc_id, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) + 1 AS x, a - 1 AS y FROM p UNION ALL SELECT doc_id, max(z) + 1, 2147483647 FROM p GROUP BY doc_id),
+        k AS (SELECT doc_id, string_agg(CASE WHEN y >= x THEN hex(b[x:y]) ELSE '' END, '' ORDER BY x) AS kept FROM o JOIN d USING (doc_id) GROUP BY doc_id),
+        t AS (SELECT doc_id, sum(z - a + 1) AS gone, count(*) AS runs FROM p GROUP BY doc_id)
+        SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(runs, 0)::BIGINT AS n_spans, sha256(coalesce(unhex(kept), b)) AS kept_sha256
+        FROM d LEFT JOIN t USING (doc_id) LEFT JOIN k USING (doc_id)""",
     # every 50-word window with the least doc_id that it starts in, then the words that windows of later documents cover
     "op4_substring_dedup": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),

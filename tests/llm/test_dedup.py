@@ -135,7 +135,7 @@ def near_copies(seed):
     return [(i, t) for i, t in enumerate(rows)] + [(900, None), (901, ""), (902, "\n "), (903, "one two"), (904, "ONE two"), (905, "one three"), (910, " ".join(make(30_000))), (None, rows[0]), (None, None)]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_similar_documents_against_brute_force(spark, seed):
     rows = near_copies(seed)
     rows += [(911, rows[-3][1] + " more"), (3, rows[3][1])]  # a repeated row

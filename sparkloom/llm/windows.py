@@ -7,7 +7,7 @@ whole are represented by one of them. Anchors that occur once in the corpus rule
 the others form one stretch of text per anchor. Equal stretches are summed up ahead of the shuffle, so a passage of many documents
 travels once a task. The different stretches are dealt by their anchor, and an operator's own method compares them
 there, each in the place of its least row (kd, th); what is found holds for all rows of that kd with an equal stretch, which a second
-join tells. An anchor with more than `CROWD` different stretches gets longer keys: its windows are split by their distance to the
+join tells. An anchor with more than `CROWD` different stretches (or MOST_BYTES of them) gets longer keys: its windows are split by their distance to the
 anchor, `step` of them together, and filed under all that these have in common, window - step + 1 symbols. Windows that reach out
 of a common passage then stand alone and are done with. Where even such a key has more than `LONG_CROWD` stretches, the windows go by
 their own 128-bit hash, which counts with partial sums and joins back. So no task has to hold all stretches of an anchor.
@@ -31,8 +31,8 @@ from sparkloom.llm.common import NULL_ID, SLICE_BYTES, Rolling, materialise, mix
 CROWD = 1024
 #: The same for stretches that are filed under a longer key.
 LONG_CROWD = 1 << 15
-#: Bytes of stretches that a task compares at a time; a group of CROWD stretches may exceed it.
-CHUNK = 4_000_000
+#: Bytes of stretches that a task compares at a time; a group may exceed it, up to MOST_BYTES. Beyond these it counts as crowded, too: words have no greatest length.
+CHUNK, MOST_BYTES = 4_000_000, 1 << 26
 
 
 @dataclass(frozen=True)
@@ -267,16 +267,17 @@ def repeated_windows(docs: DataFrame, spec: Symbols, compare: Callable, stretch_
     stretches = texts.mapInArrow(_stretches(spec), "key long, digest binary, kd long, th long, starts array<long>, n int, p int, bytes binary")
     lead = F.min(F.struct("kd", "th", F.col("starts")[0].alias("s")))
     kinds = stretches.groupBy("key", "digest").agg(lead.alias("lead"), F.sum(F.size("starts")).alias("copies"), F.first("n").alias("n"), F.first("p").alias("p"), F.first("bytes").alias("bytes"))
-    kinds = materialise(kinds.select("key", "digest", "lead.*", "copies", "n", "p", "bytes"), f"{name}-stretches")
-    crowded = kinds.groupBy("key").agg(F.count("*").alias("kinds")).where(F.col("kinds") > CROWD).select("key")
+    kinds = materialise(kinds.select("key", "digest", "lead.*", "copies", "n", "p", F.octet_length("bytes").cast("long").alias("size"), "bytes"), f"{name}-stretches")
+    crowded = kinds.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("size").alias("size")).where((F.col("kinds") > CROWD) | (F.col("size") > MOST_BYTES)).select("key")
     # where an equal stretch doesn't cover the lead, its spans go to all members of its kd, by the digest
     partly = (F.col("copies") > 1) & ~F.expr(stretch_goes)
     kinds = kinds.withColumn("least_kd", F.col("kd")).withColumn("kind", F.when(partly, F.col("digest")))
     columns = ["key", "kd", "th", "s", "n", "p", "bytes", "kind"]
     parts = kinds.join(crowded, "key", "left_semi").select(*columns[1:]).mapInArrow(_split(spec), "key long, kd long, th long, s long, n int, p int, bytes binary, kind binary")
-    parts = materialise(parts, f"{name}-parts")  # three steps read them
-    sizes = parts.groupBy("key").agg(F.count("*").alias("stretches")).where("stretches > 1")
-    few, many = (parts.join(sizes.where(f"stretches {sign} {LONG_CROWD}"), "key", "left_semi") for sign in ("<=", ">"))
+    parts = materialise(parts.withColumn("size", F.octet_length("bytes").cast("long")), f"{name}-parts")  # three steps read them
+    sizes = parts.groupBy("key").agg(F.count("*").alias("stretches"), F.sum("size").alias("size")).where("stretches > 1")
+    too_many = (F.col("stretches") > LONG_CROWD) | (F.col("size") > MOST_BYTES)
+    few, many = (parts.join(sizes.where(x), "key", "left_semi") for x in (~too_many, too_many))
     near = kinds.join(crowded, "key", "left_anti").select(*columns).unionByName(few.select(*columns)).repartition(F.col("key")).sortWithinPartitions("key")
     near = near.mapInArrow(_by_group(compare), "kd long, th long, a long, b long, kind binary")
     windows = many.select("kd", "th", "s", "n", "bytes", "kind").mapInArrow(_windows(spec), "w1 long, w2 long, kd long, th long, s long, kind binary")

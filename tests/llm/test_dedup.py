@@ -155,6 +155,14 @@ def test_a_doc_id_with_several_texts_is_one_document(spark):
 PATHS = [(1024, 1 << 15), (1, 1000), (1, 1)]
 
 
+def test_groups_of_very_long_words_are_split(spark, monkeypatch):
+    monkeypatch.setattr(windows, "MOST_BYTES", 5000)
+    words = [f"{i}" * 500 for i in range(60)]
+    rows = [(i, " ".join([f"a{i}", *words[: 50 + i], f"b{i}"])) for i in range(8)]
+    found = {r.doc_id: r.n_removed for r in suffix_tree.dedup_windows(frame(spark, rows)).collect()}
+    assert found == {0: 0, 1: 50, 2: 51, 3: 52, 4: 53, 5: 54, 6: 55, 7: 56}
+
+
 @pytest.mark.parametrize("crowd,long", PATHS)
 def test_word_windows_against_brute_force(spark, monkeypatch, crowd, long):
     monkeypatch.setattr(windows, "CROWD", crowd)

@@ -21,7 +21,7 @@ DOMAINS = ("good", "poor", "toxic")
 TARGETS = {"good": 0.90, "poor": 0.07, "toxic": 0.03}
 #: Labelled documents that the classifier counts, about; drawn by a hash of doc_id.
 SAMPLE = 20_000
-#: Words that the classifier asks for.
+#: Words that the classifier asks for, of every domain those that tell it best from the others.
 WORDS = 128
 BINS, ROUNDS, CLOSE, RIDGE = 16, 60, 1e-6, 1e-6
 STATISTICS = ("length", "word_length", "signs", "capitals")
@@ -71,20 +71,18 @@ def _classifier(docs: DataFrame, labels: DataFrame) -> list[Column]:
     rate = [(F.col(f"c{i}") + 0.5) / F.lit(float(size[i] + 1)) for i in range(k)]
     every = sum((F.col(f"c{i}") for i in range(k)), F.lit(0.0))
     mean = (every + 0.5 * k) / F.lit(float(size.sum() + k))
-    # how far the words' rates in the domains are from the common one, in documents
-    told = sum((F.col(f"c{i}") * F.log(rate[i] / mean) for i in range(k)), F.lit(0.0))
-    best = counts.where(every >= 5).orderBy(F.desc(F.round(told, 9)), "word").limit(WORDS).collect()
+    # how far a word's rate in a domain is above the common one, in documents
+    told = [F.round(F.col(f"c{i}") * F.log(rate[i] / mean), 9) for i in range(k)]
+    best = list({r["word"]: r for t in told for r in counts.where(every >= 5).orderBy(F.desc(t), "word").limit(WORDS).collect()}.values())
     out = []
     listed = F.array(*[F.lit(r["word"]) for r in best]).cast("array<string>")
-    present = F.array_intersect("words", listed)
+    logs = F.create_map(*[x for r in best for x in (F.lit(r["word"]), F.array(*[F.lit(math.log((r[f"c{i}"] + 0.5) / (size[i] + 1))) for i in range(k)]))]) if best else None
+    present = F.transform(F.array_intersect("words", listed), lambda w: F.element_at(logs, w)) if best else F.array().cast("array<array<double>>")
     for i in range(k):
-        weight = F.create_map(*[F.lit(x) for r in best for x in (r["word"], math.log((r[f"c{i}"] + 0.5) / (size[i] + 1)))]) if best else None
         total = F.lit(math.log((size[i] + 1) / (size.sum() + k)))
         for j, s in enumerate(STATISTICS):
             total = total + F.element_at(F.array(*[F.lit(float(x)) for x in table[i, j]]), F.col(s) + 1)
-        if weight is not None:
-            total = total + F.aggregate(F.transform("present", lambda w: F.element_at(weight, w)), F.lit(0.0), lambda a, x: a + x)
-        out.append(total)
+        out.append(total + F.aggregate("present", F.lit(0.0), lambda a, x: a + x[i]))  # noqa: B023
     return [present, *out]
 
 

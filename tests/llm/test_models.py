@@ -241,8 +241,8 @@ def plain_posteriors(docs, labels):
             counts.setdefault(w, [0] * k)[d] += 1
     table = np.log(table / table.sum(2, keepdims=True))
     rate = lambda c: [(x + 0.5) / (size[i] + 1) for i, x in enumerate(c)]
-    told = {w: round(sum(x * np.log(r / ((sum(c) + 0.5 * k) / (size.sum() + k))) for x, r in zip(c, rate(c))), 9) for w, c in counts.items() if sum(c) >= 5}
-    best = {w: np.log(rate(counts[w])) for w in sorted(told, key=lambda w: (-told[w], w))[: mixing.WORDS]}
+    told = {w: [round(x * np.log(r / ((sum(c) + 0.5 * k) / (size.sum() + k))), 9) for x, r in zip(c, rate(c))] for w, c in counts.items() if sum(c) >= 5}
+    best = {w: np.log(rate(counts[w])) for i in range(k) for w in sorted(told, key=lambda w: (-told[w][i], w))[: mixing.WORDS]}
     out = []
     for i, t, *_ in docs:
         bins, words = described(t)

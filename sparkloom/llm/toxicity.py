@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import bit_filter, crc_mod, materialise, mix, passes, small, stretch_hashes, text_of, utf8, words_of
+from sparkloom.session import discard, written
 
 SEGMENT, HIGHEST, DISCOUNT, RARE, CLOSE = 2, 2, 0.75, 5, 0.1
 BLOCK, BITS, MOST_BITS = 12_000_000, 16, 1 << 25
@@ -210,17 +211,21 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     own = own.where("doc_id is not null and toxic is not null").withColumn("fold", crc_mod("doc_id", FOLDS)).where(F.col("fold") != HELD_OUT)
     own = own.groupBy("doc_id", "fold").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text")).where(crc_mod("doc_id", FOLDS) != HELD_OUT)
-    # labels grow with the corpus, so the join is a shuffle of both sides at every size
-    rows = materialise(texts.join(own.hint("merge"), "doc_id"), "toxicity-rows")
+    # Spark broadcasts the labels while it knows them to be small; texts are shuffled beyond that
+    rows = materialise(texts.join(own, "doc_id"), "toxicity-rows")
+    before = written()
     counted = rows.where(F.col("fold") != CURVE_FOLD).select("text", "toxic").mapInArrow(_count, "key long, a long, b long, c0 long, c1 long")
     counts = counted.groupBy("key", "a", "b").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
     entries = materialise(model_entries(materialise(counts, "toxicity-counts")), "toxicity-entries")
+    discard(docs.sparkSession, before, keep="toxicity-entries")
     model = Model(entries, bit_filter(entries, BITS, MOST_BITS), np.zeros(3))
     curve = rows.where(F.col("fold") == CURVE_FOLD)
     share = CURVE_ROWS / max(curve.count(), 1)
     drawn = curve.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < share * (1 << 30)).dropDuplicates(["doc_id", "text"])
+    before = written()
     found = ratios(drawn, model).join(own, "doc_id").orderBy("doc_id", "draw")
     seen = found.select("toxic", "top", "mean").toPandas().to_numpy(float).reshape(-1, 3)
+    discard(docs.sparkSession, before)
     model.curve = logistic(seen[:, 1:], seen[:, 0]) if len(seen) else np.zeros(3)
     return model
 

@@ -117,9 +117,9 @@ def bit_filter(keys: DataFrame, bits: int, most: int) -> np.ndarray:
     while size < min(most, bits * keys.count()) // 64:
         size *= 2
     word = F.shiftright("key", 6).bitwiseAND(F.lit(size - 1)).alias("word")
-    rows = keys.select(word, F.expr("shiftleft(1L, cast(key & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    rows = keys.select(word, F.expr("shiftleft(1L, cast(key & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(size, np.uint64)
-    out[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
+    out[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
     return out
 
 

@@ -2,6 +2,7 @@ import random
 import re
 import unicodedata
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -112,6 +113,35 @@ def test_ratios_against_plain_kneser_ney(spark, monkeypatch):
         assert np.allclose(found, sorted(expected), atol=1e-6)
 
 
+def test_toxicity_held_or_in_tables(data, monkeypatch):
+    docs, labels, *_ = data
+    kept, tables = toxicity.materialise, []
+    monkeypatch.setattr(toxicity, "materialise", lambda df, name: tables.append(name) or kept(df, name))
+    of = lambda found: sorted((r.doc_id or -1, round(r.score, 9), r.top, r.mean) for r in found.collect())
+    held = toxicity.fit(docs, labels)
+    expected = of(toxicity.score_toxicity(docs, held))
+    assert tables == ["toxicity-counts", "toxicity-words", "toxicity-entries"]  # no text is written or dealt out
+    for most in (0, len(held.held[0]) // 2):
+        monkeypatch.setattr(toxicity, "MOST_HELD", most)
+        monkeypatch.setattr(toxicity, "MOST_LABELS", most)
+        model = toxicity.fit(docs, labels)
+        assert len(model.held[0]) <= most and model.rest.count() + len(model.held[0]) == len(held.held[0])
+        assert of(toxicity.score_toxicity(docs, model)) == expected
+
+
+def test_toxicity_counts_are_packed():
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.3, 400) % 5000) for _ in range(300)]
+    made = list(toxicity._count(4)(iter([pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array(texts), pa.array([0, 1, 0] * 100)], ["doc_id", "text", "toxic"])])))
+    counts = {}
+    for x in pa.Table.from_batches(made).to_pandas().groupby("part"):
+        part = toxicity._sum_part(pa.Table.from_pandas(x[1], preserve_index=False)).to_pylist()
+        counts |= {r["key"]: r["c0"] + r["c1"] for r in part if r["a"] is not None}
+    plain = Counter(p for t in texts for p in zip(t.split(), t.split()[1:]))
+    assert sorted(counts.values()) == sorted(n for n in plain.values() if n >= toxicity.RARE)
+    assert sum(b.nbytes for b in made) < 10 * len(plain)  # a row of Spark's takes 48 bytes
+
+
 def test_language_on_held_out_rows(data):
     docs, _, rows, _ = data
     model = language.fit(docs)

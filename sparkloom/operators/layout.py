@@ -46,9 +46,10 @@ def morton(ranks: Sequence[str]) -> Column:
     return out
 
 
-def arrange(df: DataFrame, order: str = "arrival", keys: Sequence[str] = (), files: int | None = None) -> DataFrame:
+def arrange(df: DataFrame, order: str = "arrival", keys: Sequence[str] = (), files: int | None = None, rows_per_task: int = 0) -> DataFrame:
     """df in partitions that a write turns into files: as it comes; in ranges of the keys, sorted inside; with equal keys together,
-    sorted inside; or in ranges of the keys' interleaved ranks, for predicates on any of them."""
+    sorted inside; or in ranges of the keys' interleaved ranks, for predicates on any of them. With rows_per_task there are more than `files` partitions where
+    the rows, which are counted, would otherwise be more than that in one; only equal keys stay together then."""
     if order not in ORDERS:
         raise ConfigError(f"no order {order!r}; there are {', '.join(ORDERS)}")
     if order == "arrival":
@@ -56,6 +57,8 @@ def arrange(df: DataFrame, order: str = "arrival", keys: Sequence[str] = (), fil
     if not keys:
         raise ConfigError(f"{order} needs keys")
     need(df, *keys)
+    if files is not None and rows_per_task:
+        files = max(files, math.ceil(df.count() / rows_per_task))
     count = [] if files is None else [files]
     if order == "sorted":
         return df.repartitionByRange(*count, *keys).sortWithinPartitions(*keys)

@@ -498,9 +498,13 @@ def parse_boolean_skip(spark, sf_dir):
 # layouts, files, statistics
 
 
+#: Rows that a task sorts: with a fixed number of files, its memory would grow with the table.
+ROWS_PER_TASK = 1 << 20
+
+
 def _stored(spark, sf_dir, order, *keys):
     path = new_path(spark, f"layout-{order}")
-    parquet.write(load(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity"), path, order, keys, files=8, bloom=["l_orderkey"])
+    parquet.write(load(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity"), path, order, keys, files=8, bloom=["l_orderkey"], rows_per_task=ROWS_PER_TASK)
     return parquet.open_table(spark, path)
 
 

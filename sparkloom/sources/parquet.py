@@ -19,10 +19,10 @@ from sparkloom.operators.rows import keep
 from sparkloom.schema import need
 
 
-def write(df: DataFrame, path: str, order: str = "arrival", keys: Sequence[str] = (), files: int | None = None, rows_per_file: int = 0, bloom: Sequence[str] | Mapping[str, tuple[int, float]] = ()) -> None:
-    """A new table at path. order: arrival, sorted, clustered or interleaved by keys. bloom: columns that get Parquet Bloom filters, if wanted with the
+def write(df: DataFrame, path: str, order: str = "arrival", keys: Sequence[str] = (), files: int | None = None, rows_per_file: int = 0, bloom: Sequence[str] | Mapping[str, tuple[int, float]] = (), rows_per_task: int = 0) -> None:
+    """A new table at path. order: arrival, sorted, clustered or interleaved by keys, in `files` files, or more by rows_per_task as `arrange` has it. bloom: columns that get Parquet Bloom filters, if wanted with the
     different values expected in a row group and the share of false positives, which size them."""
-    writer = arrange(df, order, keys, files).write
+    writer = arrange(df, order, keys, files, rows_per_task).write
     for name in bloom:
         writer = writer.option(f"parquet.bloom.filter.enabled#{need(df, name)}", "true")
         if isinstance(bloom, Mapping):

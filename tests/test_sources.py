@@ -36,6 +36,18 @@ def test_layouts_keep_rows_and_prune(spark, numbers, tmp_path, order):
     assert sum(1 for _ in parquet.batches(table, ["id"], F.col("k") < 10)) == numbers.where("k < 10").count()
 
 
+@pytest.mark.parametrize("order", ["sorted", "clustered", "interleaved"])
+def test_tasks_sort_no_more_rows_in_larger_tables(spark, monkeypatch, order):
+    from sparkloom import queries
+
+    monkeypatch.setattr(queries, "ROWS_PER_TASK", 250)
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    stored = queries._stored(spark, "/root/testdata/sf0.001", order, *(["l_orderkey", "l_partkey"] if order == "interleaved" else ["l_orderkey"]))
+    found = parquet.files(stored)
+    assert found.count() > 16 and found.agg(F.max("rows")).first()[0] < lines.count() / 8
+    assert agree(stored, lines.select(*stored.columns))
+
+
 def test_fragments_zone_maps_and_refusals(spark, numbers, tmp_path):
     small, large = str(tmp_path / "small"), str(tmp_path / "large")
     parquet.ingest(numbers.coalesce(1), small, 100)
